@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessel.llm import bpe, line_dedup, simhash
+from tessel.llm import bpe, line_dedup, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
     "op7_simhash_near_dedup": simhash.query,
