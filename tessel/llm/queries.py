@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessel.llm import bpe, line_dedup, packing, simhash
+from tessel.llm import bpe, line_dedup, packing, simhash, warc
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op10_warc": warc.query,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
