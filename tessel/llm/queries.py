@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessel.llm import bpe, line_dedup, packing, simhash, warc
+from tessel.llm import bpe, line_dedup, packing, pii, simhash, warc
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op9_pii": pii.query,
     "op10_warc": warc.query,
 }
 
