@@ -168,6 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspected = named.select("id", "text").mapInArrow(_suspects(filter_, bits, min_chars, arrow), out).dropDuplicates(["key", "doc"])
     suspected = materialize(suspected, "suspected")
     repeated = suspected.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
+    repeated = materialize(repeated, "repeated")  # so that the next join is between two exchanges, which splits a hot key
     losing = suspected.join(repeated, "key").where("doc != keeper").groupBy("doc").agg(F.collect_list("key").alias("keys"))
     joined = docs.join(losing, docs["id"] == losing["doc"], "left").select("id", "text", "keys", REST)
     schema = T.StructType([docs.schema["id"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), docs.schema[REST]])
