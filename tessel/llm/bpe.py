@@ -88,6 +88,7 @@ class Vocabulary:
         keys = np.array([a << 20 | b for a, b in self.merges] or [-1], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()] or [0], np.int64)[order]
+        self.bytes_ = np.array(self.single, np.int64)
         self.made = np.array([m for _, m in self.merges.values()] or [0], np.int64)
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
 
@@ -111,28 +112,38 @@ class Vocabulary:
                 found[i] = of((parts[i], parts[i + 1]), none)
         return tuple(parts)
 
-    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """merge() of each word: one merge a round in all words together, over arrays."""
-        short = [i for i, w in enumerate(words) if 2 <= len(w) <= 32]
-        out: list = [None] * len(words)
-        for i, w in enumerate(words):
-            if not 2 <= len(w) <= 32:
-                out[i] = self.merge(w)
-        for begin in range(0, len(short), 8192):
-            part = short[begin : begin + 8192]
-            sizes = np.array([len(words[i]) for i in part])
-            wide = int(sizes.max())
-            ids = np.full((len(part), wide + 1), -1, np.int64)
-            ids[np.arange(wide + 1) < sizes[:, None]] = np.array(self.single)[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]
-            ranks, at, cols = self._ranks(ids[:, :-1], ids[:, 1:]), np.array(part), np.arange(wide + 1)
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """merge() of each word as (ids, start, size): one merge a round in all words together, over arrays."""
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, used = [], 0
+
+        def add(at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal used
+            start[at], size[at] = used + np.cumsum(sizes) - sizes, sizes
+            parts.append(ids)
+            used += len(ids)
+
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero((lengths < 2) | (lengths > 32)).tolist():
+            ids = np.array(self.merge(words[i]), np.int64)
+            add(np.array([i]), ids, np.array([len(ids)]))
+        short = np.flatnonzero((lengths >= 2) & (lengths <= 32))
+        short = short[np.argsort(lengths[short], kind="stable")]
+        for at in np.array_split(short, len(short) // 8192 + 1):
+            if not len(at):
+                continue
+            wide = int(lengths[at].max())
+            ids = np.full((len(at), wide + 1), -1, np.int64)
+            ids[np.arange(wide + 1) < lengths[at][:, None]] = self.bytes_[np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8)]
+            ranks, cols = self._ranks(ids[:, :-1], ids[:, 1:]), np.arange(wide + 1)
             while len(at):
                 i = ranks.argmin(axis=1)
                 rows = np.arange(len(at))
                 best = ranks[rows, i]
                 done = best == _NONE
                 if done.any():
-                    for k, r, n in zip(at[done].tolist(), ids[done].tolist(), (ids[done] >= 0).sum(axis=1).tolist(), strict=True):
-                        out[k] = tuple(r[:n])
+                    there = ids[done] >= 0
+                    add(at[done], ids[done][there], there.sum(axis=1))
                     go = ~done
                     at, ids, ranks, i, best = at[go], ids[go], ranks[go], i[go], best[go]
                     if not len(at):
@@ -147,7 +158,7 @@ class Vocabulary:
                 ranks[rows, i] = self._ranks(ids[rows, i], ids[rows, i + 1])
                 before = np.maximum(i - 1, 0)
                 ranks[rows, before] = np.where(i > 0, self._ranks(ids[rows, before], ids[rows, before + 1]), ranks[rows, before])
-        return out
+        return np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int32), start, size
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, _NONE where it doesn't merge."""
@@ -292,41 +303,55 @@ def map_arrays(packed: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of size places each, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Encoder:
-    """Ids of texts, piece by piece: remembered ones first, then each word by the automaton, then exact merges."""
+    """Ids of texts, word by word: remembered ones first, then the automaton's, then exact merges.
+
+    Remembered words have a slot each in flat arrays of ids, so that a batch's ids are one gather.
+    """
 
     def __init__(self, words: Vocabulary, automaton: Automaton):
         self.vocabulary, self.automaton = words, automaton
-        self.memo: dict[str | int, tuple[int, ...]] = {}  # of words
-        self.later: dict[str, tuple[int, ...]] = {}  # of pieces after a space
-
-    def _learn(self, words: Iterable[str | int]) -> None:
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        memo.update((w, (w,)) for w in new if isinstance(w, int))
-        new = [w for w in new if isinstance(w, str)]
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        found = self.automaton.entries(raw)
-        known, unseen = np.flatnonzero(found >= 0), np.flatnonzero(found < 0).tolist()
-        ids, start = self.automaton.ids, self.automaton.start
-        for i, a, b in zip(known.tolist(), start[found[known]].tolist(), start[found[known] + 1].tolist(), strict=True):
-            memo[new[i]] = tuple(ids[a:b].tolist())
-        memo.update(zip([new[i] for i in unseen], self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.memo) > HELD:
-            self.memo = {}
-        if len(self.later) > HELD:
-            self.later = {}
-        cut = [pieces(t or "", self.vocabulary.special) for t in texts]
-        new = [p for p in dict.fromkeys(chain.from_iterable(c[1:] for c in cut if c)) if p not in self.later]
-        words = [split_words(" " + p) for p in new]
-        heads = [split_words(c[0]) if c else self.vocabulary.words(t or "") for c, t in zip(cut, texts, strict=True)]
-        self._learn(dict.fromkeys(chain(chain.from_iterable(words), chain.from_iterable(heads))))
-        word, later = self.memo.__getitem__, self.later
-        later.update((p, tuple(chain.from_iterable(map(word, ws)))) for p, ws in zip(new, words, strict=True))
-        of = later.__getitem__
-        return [np.array(list(chain(chain.from_iterable(map(word, h)), chain.from_iterable(map(of, c[1:] if c else ())))), np.int32) for h, c in zip(heads, cut, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str | int, int] = {}
+        self.ids, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, new: list[str | int]) -> None:
+        raw = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else b"" for w in new]
+        a, start, size = self.automaton, np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        found = a.entries(raw)
+        known, special = np.flatnonzero(found >= 0), np.array([i for i, w in enumerate(new) if isinstance(w, int)], np.int64)
+        unseen = np.setdiff1d(np.flatnonzero(found < 0), special)
+        merged, at, n = self.vocabulary.merge_many([raw[i] for i in unseen.tolist()])
+        ids = [self.ids, merged]
+        start[unseen], size[unseen] = at + len(self.ids), n
+        begin = a.start[found[known]].astype(np.int64)
+        n = a.start[found[known] + 1] - begin
+        start[known], size[known] = sum(map(len, ids)) + np.cumsum(n) - n, n
+        ids.append(a.ids[_spread(begin, n)])
+        start[special], size[special] = sum(map(len, ids)) + np.arange(len(special)), 1
+        ids.append(np.array([new[i] for i in special.tolist()], np.int32))
+        self.slots.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
+        self.ids, self.start, self.size = np.concatenate(ids), np.concatenate([self.start, start]), np.concatenate([self.size, size])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end (from 0 on)."""
+        if len(self.slots) > HELD:
+            self._forget()
+        split = [self.vocabulary.words(t or "") for t in texts]
+        words = list(chain.from_iterable(split))
+        self._learn([w for w in dict.fromkeys(words) if w not in self.slots])
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        sizes = self.size[slots]
+        ids = self.ids[_spread(self.start[slots], sizes)]
+        ends = np.cumsum([0, *map(len, split)])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[ends]
 
 
 def _count(path: str, kept: int):
@@ -364,17 +389,16 @@ def frequent_words(docs: DataFrame, text: str, path: str, size: int = LEXICON) -
 
 
 def compile_lexicon(words: list[bytes], path: str) -> bytes:
-    return pack_arrays(Automaton.build(dict(zip(words, vocabulary(path).merge_many(words), strict=True))))
+    ids, start, size = vocabulary(path).merge_many(words)
+    return pack_arrays(Automaton.build({w: tuple(ids[a : a + n].tolist()) for w, a, n in zip(words, start.tolist(), size.tolist(), strict=True)}))
 
 
 def _encode(path: str, lexicon):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(vocabulary(path), Automaton(map_arrays(lexicon.value)))
         for batch in batches:
-            ids = own.encode(batch.column(1).to_pylist())
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate([np.empty(0, np.int32), *ids])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "ids"])
+            ids, ends = own.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
     return encode
 
@@ -383,7 +407,8 @@ def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).tokens.__getitem__
         for batch in batches:
-            texts = [b"".join(map(token, x.values.to_pylist())).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(1)]
+            ids, ends, there = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_pylist(), batch.column(1).is_valid().to_pylist()
+            texts = [b"".join(map(token, ids[a:b].tolist())).decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends, ends[1:], there, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     return decode
