@@ -19,54 +19,71 @@ from tessel.llm.common import materialize, prepare, read
 from tessel.llm.embeddings import finite
 
 CANDIDATES = 1 << 14  # rows of a block, as a mean
-LIST = 1 << 12  # rows whose lists are read together; the k-th score of one part is the threshold of the next
+LIST = 1 << 10  # rows whose lists are read together; the k-th score of one part is the threshold of the next
 QUERIES = 128
-ROUNDS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1)
+FIRST = 512  # rows of the first part, which has no threshold yet
 
 
-def nra(q: np.ndarray, lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, float]:
-    """The rows that may be among the k best of score at least `least`, and the share of the lists that was read.
+class Lists:
+    """Sorted lists of a part's rows: for each component the row numbers from either end, and the values so ordered.
 
-    lists: for each component the row numbers in descending order of value, and the values in that order.
+    values[1] is negated, so that with the sizes of a query's components both ends read in descending order.
     """
-    order, values = lists
-    n, dims = len(rows), len(q)
-    up = q >= 0
-    first = np.where(up, values[:, 0], values[:, -1])
-    last = np.where(up, values[:, -1], values[:, 0])
-    if (q * first).sum() < least:  # nobody can
-        return np.empty(0, np.int64), 0.0
-    seen, gain, low, done = np.zeros(n), np.zeros(n), np.zeros(n), 0
-    pieces: list[np.ndarray] = []
-    for part in ROUNDS:
-        depth = max(done + 1, min(n, round(part * n)))
-        at = np.where(up[:, None], order[:, done:depth], order[:, ::-1][:, done:depth])
-        got = np.where(up[:, None], values[:, done:depth], values[:, ::-1][:, done:depth])
-        pieces.append(at)
-        front = np.where(up, values[:, depth - 1], values[:, n - depth])
-        gain += np.bincount(at.ravel(), weights=(q[:, None] * got).ravel(), minlength=n)  # what was read of each row
-        seen += np.bincount(at.ravel(), minlength=n)
-        low += np.bincount(at.ravel(), weights=np.repeat(q * last, at.shape[1]), minlength=n)
-        done = depth
-        if done == n:
-            break
-        worst = gain + (q * last).sum() - low  # unread components at their worst
-        bar = max(least, np.partition(worst, n - k)[n - k] if n >= k else -np.inf)
-        outside = (q * front).sum()  # the best that a row can have that no list has shown
-        if outside < bar:
-            read_ = np.zeros(n)
-            for x in pieces:
-                read_ += np.bincount(x.ravel(), weights=np.repeat(q * front, x.shape[1]), minlength=n)
-            best = gain + outside - read_  # unread components at the front
-            open_ = np.flatnonzero((best >= bar - 1e-6 * abs(bar)) & (seen > 0))
-            if len(open_) <= max(4 * k, n // 8):
-                return open_, done / n
+
+    def __init__(self, rows: np.ndarray):
+        order = np.argsort(-rows, axis=0, kind="stable").T
+        values = np.take_along_axis(rows.T, order, axis=1).astype(np.float64)
+        self.order = np.stack([order, order[:, ::-1]])
+        self.values = np.stack([values, -values[:, ::-1]])
+
+    def __len__(self) -> int:
+        return self.order.shape[2]
+
+
+def nra(q: np.ndarray, lists: Lists, k: int, least: float = -np.inf) -> tuple[np.ndarray, float]:
+    """The rows that may be among the k best with a score of at least `least`, and the share of the lists that was read.
+
+    Every list is read from the end that favours the query, all to the same depth. A row's upper bound takes what was
+    read of it and, for its other components, the value where reading stands; its lower bound takes their worst value.
+    Reading stops when rows that no list has shown cannot reach the threshold: that given, else the k-th lower bound.
+    """
+    n, size, way, each = len(lists), np.abs(q), (q < 0).astype(np.int64), np.arange(len(q))
+    front = lambda depth: size * lists.values[way, each, depth - 1]
+
+    def read_to(depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What was read by row, for either bound: above the front, and above the worst."""
+        at, got = lists.order[way, each, :depth].ravel(), lists.values[way, each, :depth]
+        above = np.bincount(at, weights=(size[:, None] * (got - got[:, -1:])).ravel(), minlength=n)
+        return at, got, above
+
+    if np.isfinite(least):
+        a, b = 1, n
+        while a < b:  # the least depth from which nobody unseen can qualify
+            mid = (a + b) // 2
+            a, b = (a, mid) if front(mid).sum() < least else (mid + 1, b)
+        depth = max(a, n // 2)
+        while True:  # further, until few of those seen can qualify either
+            _, _, above = read_to(depth)
+            open_ = np.flatnonzero(above + front(depth).sum() >= least - 1e-6 * abs(least))
+            if depth == n or len(open_) <= max(4 * k, n // 3):
+                return open_, depth / n
+            depth = min(n, depth + max(1, n // 8))
+    bottom = size * lists.values[way, each, n - 1]
+    for depth in sorted({max(1, n * i // 8) for i in (4, 6, 7, 8)}):
+        at, got, above = read_to(depth)
+        worst = np.bincount(at, weights=(size[:, None] * got - bottom[:, None]).ravel(), minlength=n) + bottom.sum()
+        bar = np.partition(worst, n - k)[n - k] if n >= k else -np.inf
+        if front(depth).sum() < bar:
+            return np.flatnonzero(above + front(depth).sum() >= bar - 1e-6 * abs(bar)), depth / n
     return np.arange(n), 1.0
 
 
-def sorted_lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(-rows, axis=0, kind="stable").T.copy()
-    return order, np.take_along_axis(rows.T, order, axis=1).astype(np.float64)
+def exact(rows: np.ndarray, wide: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The scores of the rows at; in doubles (wide) where these hold every partial sum exactly, else in 64-bit integers."""
+    if float(np.abs(q).sum()) * float(np.abs(wide).max(initial=0)) >= 2**52:
+        return rows[at] @ q
+    x = q.astype(np.float64)
+    return ((wide @ x)[at] if len(at) > len(wide) // 4 else wide[at] @ x).astype(np.int64)
 
 
 def _meet(k: int):
@@ -76,17 +93,18 @@ def _meet(k: int):
                 ids, dim, raw, qids, qraw = (batch.column(c)[i].as_py() for c in ("ids", "dim", "rows", "qids", "qrows"))
                 ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
                 rows, qs = np.frombuffer(raw, np.int64).reshape(-1, dim), np.frombuffer(qraw, np.int64).reshape(-1, dim)
-                parts = [slice(a, a + LIST) for a in range(0, len(ids), LIST)]
-                lists = [sorted_lists(rows[p]) for p in parts]
+                cuts = [0, *range(FIRST, len(ids), LIST), len(ids)] if len(ids) > FIRST else [0, len(ids)]
+                parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+                lists, wide = [Lists(rows[p]) for p in parts], rows.astype(np.float64)
                 out = []
                 for qid, q in zip(qids.tolist(), qs, strict=True):
                     best = (np.empty(0, np.int64), np.empty(0, np.int64))
                     for p, own in zip(parts, lists, strict=True):
                         enough = best[0][-1] if len(best[0]) == k else -np.inf
                         # one more than k, as the query's own row may be among them
-                        at, _ = nra(q.astype(np.float64), own, rows[p], k + 1, float(enough))
+                        at, _ = nra(q.astype(np.float64), own, k + 1, float(enough))
                         at = at[ids[p][at] != qid]
-                        score = np.concatenate([best[0], rows[p][at] @ q])
+                        score = np.concatenate([best[0], exact(rows[p], wide[p], q, at)])
                         vec = np.concatenate([best[1], ids[p][at]])
                         top = np.lexsort((vec, -score))[:k]
                         best = score[top], vec[top]
