@@ -22,6 +22,7 @@ from tessel.llm.components import components
 
 SEED = 42
 BLOCK = 2048  # fingerprints of a block, as a mean
+TILES = 256  # tiles of a task, as a mean
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -94,7 +95,8 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """u, v: links that join all rows (fp, rep) whose fp differ in at most radius bits; both columns unique."""
     half = F.lit((1 << 32) - 1)
     keyed = prints.select("fp", "rep", F.bit_count(F.col("fp").bitwiseAND(half)).alias("lo"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"))
-    sizes = keyed.groupBy("lo", "hi").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # at most 33 x 33 rows
+    sizes = keyed.groupBy("lo", "hi").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = materialize(sizes, "sizes")  # at most 33 x 33 rows
     dealt = keyed.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     blocks = dealt.groupBy("lo", "hi", "part").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
     blocks = materialize(blocks.select("lo", "hi", "part", F.col("rows.fp").alias("fp"), F.col("rows.rep").alias("rep")), "blocks")
@@ -102,8 +104,11 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
     left = blocks.select(F.explode(steps).alias("s"), "lo", "hi", F.col("part").alias("pa"), F.col("fp").alias("fa"), F.col("rep").alias("ra"))
     left = left.select(((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"), (F.col("lo") + F.col("s.i")).alias("lo"), (F.col("hi") + F.col("s.j")).alias("hi"), "pa", "fa", "ra")
+    left = left.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = left.where(~F.col("own") | (F.col("pa") <= F.col("pb")))  # a row per tile, dealt by its right block: no key is hot
     right = blocks.select("lo", "hi", F.col("part").alias("pb"), F.col("fp").alias("fb"), F.col("rep").alias("rb"))
-    tiles = left.join(right, ["lo", "hi"]).where(~F.col("own") | (F.col("pa") <= F.col("pb")))
+    tasks = 1 + (sizes.agg(F.sum("parts")).first()[0] or 0) * 13 // TILES
+    tiles = left.repartition(tasks, "lo", "hi", "pb").join(right.repartition(tasks, "lo", "hi", "pb"), ["lo", "hi", "pb"])
     return tiles.select("fa", "ra", "fb", "rb").mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
