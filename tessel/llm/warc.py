@@ -205,7 +205,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_warc(archives: DataFrame, step: int = RANGE) -> DataFrame:
     """file, offset, fields (names in lower case) and payload of every record of the archives (file, size)."""
     found = record_offsets(archives, step)
-    dealt = found.repartition("file", F.floor(F.col("offset") / step))
+    tasks = 1 + (archives.agg(F.sum("size")).first()[0] or 0) // (4 * step)  # by what they will read, not by these small rows
+    dealt = found.repartition(tasks, "file", F.floor(F.col("offset") / step))
     return dealt.mapInArrow(_records, "file string, offset long, fields map<string,string>, payload binary")
 
 
