@@ -1 +1 @@
-"""Part of the tessel engine."""
+"""Registered queries; importing a module of this package registers its queries."""

@@ -28,3 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from tessel.plans import geometry  # noqa: F401
+
+
+_load()
