@@ -67,7 +67,7 @@ def _write(folder: str):
             out.close()
             done.append((name, size, records))
         if done:
-            yield pa.record_batch({"file": pa.array([f"{folder}/{n}" for n, _, _ in done]), "size": pa.array([s for _, s, _ in done], pa.int64()), "records": pa.array([r for _, _, r in done], pa.int64())})
+            yield pa.record_batch({"file": pa.array([f"{folder}/{n}" for n, _, _ in done], pa.string()), "size": pa.array([s for _, s, _ in done], pa.int64()), "records": pa.array([r for _, _, r in done], pa.int64())})
 
     return write
 
@@ -130,7 +130,7 @@ def _candidates(step: int):
                     j = own.get(nexts[i])
                     exits[i] = nexts[i] if j is None else exits[j]
                 yield pa.record_batch(
-                    {"file": pa.array([file] * len(offsets)), "begin": pa.array([begin] * len(offsets), pa.int64()), "offset": pa.array(offsets, pa.int64()), "head": pa.array(heads, pa.int64()), "next": pa.array(nexts, pa.int64()), "exit": pa.array(exits, pa.int64())}
+                    {"file": pa.array([file] * len(offsets), pa.string()), "begin": pa.array([begin] * len(offsets), pa.int64()), "offset": pa.array(offsets, pa.int64()), "head": pa.array(heads, pa.int64()), "next": pa.array(nexts, pa.int64()), "exit": pa.array(exits, pa.int64())}
                 )
 
     return candidates
@@ -196,7 +196,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch(
         {
-            "file": pa.array([r[0] for r in rows]), "offset": pa.array([r[1] for r in rows], pa.int64()),
+            "file": pa.array([r[0] for r in rows], pa.string()), "offset": pa.array([r[1] for r in rows], pa.int64()),
             "fields": pa.array([list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.string())), "payload": pa.array([r[3] for r in rows], pa.binary()),
         }
     )
