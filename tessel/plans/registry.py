@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessel.plans import datasets, detection, evaluation, geometry, tracks  # noqa: F401
+    from tessel.plans import datasets, detection, evaluation, geometry, results, tracks  # noqa: F401
 
 
 _load()
