@@ -22,16 +22,16 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def _load() -> None:
+    """Import the modules that register queries; not before they are asked for, as executors import some of them alone."""
+    from tessel.plans import datasets, detection, evaluation, geometry, more, results, tracks  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-def _load() -> None:
-    from tessel.plans import datasets, detection, evaluation, geometry, results, tracks  # noqa: F401
-
-
-_load()
