@@ -182,7 +182,7 @@ register("a10_merge_polygons_by_iou", _MERGE + " SELECT image_id, cls, group_id,
 register("a17_build_merged_results", _MERGE + " SELECT group_id, count(*) AS members FROM c GROUP BY group_id HAVING count(*) > 1")(
     lambda spark, sf_dir: merge_boxes(detections(spark, sf_dir).where("conf > 0.4")).where("members > 1").select("group_id", "members")
 )
-register("a20_merge_classification", f"WITH d AS ({DET_SQL}), s AS (SELECT image_id, cls, sum(conf) AS s, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS votes, row_number() OVER (PARTITION BY image_id ORDER BY round(s, 6) DESC, cls) AS rk FROM s) SELECT image_id, cls, round(s / votes, 6) AS conf FROM r WHERE rk = 1")(
+register("a20_merge_classification", f"WITH d AS ({DET_SQL}), s AS (SELECT image_id, cls, sum(conf) AS s, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS votes, row_number() OVER (PARTITION BY image_id ORDER BY round(s, 6) DESC, cls) AS rk FROM s) SELECT image_id, cls, round(s / votes, 10) AS conf FROM r WHERE rk = 1")(
     lambda spark, sf_dir: vote(detections(spark, sf_dir))
 )
 
@@ -191,7 +191,7 @@ def vote(det: DataFrame) -> DataFrame:
     """The class of each image with the largest summed confidence, which is divided by all votes."""
     sums = det.groupBy("image_id", "cls").agg(F.sum("conf").alias("s"), F.count("*").alias("n"))
     best = F.max(F.struct(F.round("s", 6).alias("r"), (-F.col("cls")).alias("c"), "s"))
-    return sums.groupBy("image_id").agg(best.alias("b"), F.sum("n").alias("votes")).select("image_id", (-F.col("b.c")).alias("cls"), F.round(F.col("b.s") / F.col("votes"), 6).alias("conf"))
+    return sums.groupBy("image_id").agg(best.alias("b"), F.sum("n").alias("votes")).select("image_id", (-F.col("b.c")).alias("cls"), F.round(F.col("b.s") / F.col("votes"), 10).alias("conf"))
 
 
 register("j16_find_overlapping_mask_indices", f"WITH d AS ({DET_SQL}) SELECT det_id FROM d WHERE (x1 < 256 AND x2 > 192) OR (y1 < 256 AND y2 > 192)")(
