@@ -41,7 +41,7 @@ _ring("o3_export_polygons", "5 AS n, (x2-x1)*(y2-y1) AS area", lambda r: [F.size
 register("p6_try_extract_bbox", f"WITH d AS ({DET_SQL}) SELECT det_id, CASE cls WHEN 0 THEN 0.01 WHEN 1 THEN round((x2-x1)/400, 6) END AS w FROM d")(
     lambda spark, sf_dir: detections(spark, sf_dir).select("det_id", F.when(F.col("cls") == 0, 0.01).when(F.col("cls") == 1, F.round((F.col("x2") - F.col("x1")) / 400, 6)).alias("w"))
 )
-register("p1_get_yolo_class_id", "SELECT l_linenumber AS id, CASE WHEN l_linenumber > 0 THEN l_linenumber - 1 ELSE l_linenumber END AS cls, count(*) AS n FROM lineitem GROUP BY ALL")(
+register("p1_get_class_id", "SELECT l_linenumber AS id, CASE WHEN l_linenumber > 0 THEN l_linenumber - 1 ELSE l_linenumber END AS cls, count(*) AS n FROM lineitem GROUP BY ALL")(
     lambda spark, sf_dir: table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("id"), D.zero_based(F.col("l_linenumber"), True).alias("cls")).agg(F.count("*").alias("n"))
 )
 register("p28_clean_str", "SELECT page_id, regexp_replace(url, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS name FROM pages")(lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", D.clean_name(F.col("url")).alias("name")))
@@ -139,7 +139,7 @@ register("a39_get_neg_texts", "WITH c AS (SELECT source AS name, count(*) AS n F
 )
 register("a40_category_names", "SELECT DISTINCT trim(source) AS name FROM documents")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.trim("source").alias("name")).distinct())
 _STAT = "SELECT CASE WHEN doc_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, doc_id // 3 AS image_id, CASE WHEN doc_id % 9 <> 0 THEN lang END AS cls FROM documents"
-register("a43_hub_dataset_stats", f"WITH s AS ({_STAT}) SELECT split, cls, count(cls) AS instances, count(DISTINCT image_id) AS images FROM s WHERE cls IS NOT NULL GROUP BY split, cls UNION ALL SELECT split, NULL, count(cls), count(DISTINCT image_id) FROM s GROUP BY split")(
+register("a43_dataset_stats", f"WITH s AS ({_STAT}) SELECT split, cls, count(cls) AS instances, count(DISTINCT image_id) AS images FROM s WHERE cls IS NOT NULL GROUP BY split, cls UNION ALL SELECT split, NULL, count(cls), count(DISTINCT image_id) FROM s GROUP BY split")(
     lambda spark, sf_dir: stats(spark, sf_dir)
 )
 

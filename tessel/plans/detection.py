@@ -62,7 +62,7 @@ register("a2_nms", _greedy_sql("> 0.3"))(lambda spark, sf_dir: nms.greedy_nms(de
 register("a4_batched_nms", _greedy_sql("> 0.5"))(lambda spark, sf_dir: nms.greedy_nms(detections(spark, sf_dir), 0.5).select("det_id"))
 register("a5_global_nms", _greedy_sql(">= 0.4"))(lambda spark, sf_dir: nms.greedy_nms(detections(spark, sf_dir), 0.4, strict=True).select("det_id"))
 register("a1_non_max_suppression")(lambda spark, sf_dir: nms.non_max_suppression(detections(spark, sf_dir), 0.25, 0.45, [0, 1], max_det=20).select("det_id", "image_id", "cls"))
-register("k10_rtdetr_postprocess", f"WITH d AS ({DET_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rk FROM d WHERE conf > 0.25 AND cls IN (0, 2)) SELECT image_id, det_id FROM r WHERE rk <= 10")(
+register("k10_postprocess", f"WITH d AS ({DET_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rk FROM d WHERE conf > 0.25 AND cls IN (0, 2)) SELECT image_id, det_id FROM r WHERE rk <= 10")(
     lambda spark, sf_dir: detections(spark, sf_dir).where("conf > 0.25 AND cls IN (0, 2)").withColumn("rk", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id"))).where("rk <= 10").select("image_id", "det_id")
 )
 register("a6_merge_detection", f"WITH d AS {_CLIPPED}, k AS (SELECT * FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE {_PAIR} AND {_AHEAD} AND {_IOU} >= 0.5)) SELECT det_id, cls, conf, x1, y1, x2, y2 FROM k")(

@@ -293,7 +293,10 @@ for _n in ("s2_normalize_image", "s3_normalize_float_image"):
 
 
 def multispectral(rgb: DataFrame, bands: int) -> DataFrame:
-    """Bands at even wavelengths from 450 to 700 nm, linear between blue (475), green (540) and red (650), kept in 0..255."""
+    """Bands at even wavelengths from 450 to 700 nm, linear between blue, green and red, kept in 0..255.
+
+    Fixed values: the wavelengths 475, 540 and 650 nm of the three colours.
+    """
     at = lambda i: 450 + i * 250 / (bands - 1)
     line = lambda w, x0, y0, x1, y1: F.col(y0) + (F.col(y1) - F.col(y0)) * (w - x0) / (x1 - x0)
     value = lambda w: line(w, 475, "b", 540, "g") if w <= 540 else line(w, 540, "g", 650, "r")
@@ -330,7 +333,7 @@ def round_trip(spark, sf_dir):
     return formats.read_ndjson(spark, path).groupBy("split", "cls").agg(F.count("*").alias("n"), F.round(F.sum(F.col("numbers")[2]), 4).alias("w"))
 
 
-register("s26_convert_ndjson_to_yolo", f"SELECT CASE WHEN image_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, cls, count(*) AS n, round(sum((x2 - x1) / 500), 4) AS w FROM ({DET_SQL}) WHERE conf > 0.4 GROUP BY ALL")(round_trip)
+register("s26_convert_ndjson", f"SELECT CASE WHEN image_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, cls, count(*) AS n, round(sum((x2 - x1) / 500), 4) AS w FROM ({DET_SQL}) WHERE conf > 0.4 GROUP BY ALL")(round_trip)
 
 
 def geo_trip(spark, sf_dir):
