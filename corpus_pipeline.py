@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import langid, line_dedup, packing, pii, simhash
+from tessel.llm import langid, line_dedup, packing, pii, shingles
 from tessel.llm.common import carried, materialize, read
 
 
@@ -37,11 +37,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id; a row with a null id stays if its group has no other.
+    """One document of each group of near copies, that with the smallest doc_id; rows with a null id stay.
 
-    Of rows with the same doc_id all stay if that id does.
+    Near copies have a Jaccard similarity of 0.8 or more in their sets of five-word shingles, or are linked by others that
+    have. Of rows with the same doc_id all stay if that id does.
     """
-    groups = materialize(simhash.simhash_groups(docs).where("id IS NOT NULL AND id != component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
+    groups = materialize(shingles.shingle_groups(docs).where("id != component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
     return docs.join(groups, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
