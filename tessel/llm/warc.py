@@ -27,7 +27,7 @@ GAP = b"\r\n\r\n"
 LEAST = 100  # bytes of a payload from which equal ones are revisits
 RANGE = 8 << 20
 FILE = 128 << 20
-MOST_HEADER = 64 << 10
+LOOK = 64 << 10  # bytes read behind a range at first for the header that begins in it; more until the header ends
 BROADCAST = 1 << 20  # rows of revisits (48 MB) up to which they are sent to all tasks instead of shuffling payloads
 
 
@@ -96,7 +96,7 @@ def parse_header(data: bytes, at: int = 0) -> tuple[int, dict[str, str]] | None:
     if not data.startswith(MAGIC, at):
         return None
     end = data.find(GAP, at)
-    if end < 0 or end - at > MOST_HEADER:
+    if end < 0:
         return None
     fields = {}
     for line in data[at + len(MAGIC) : end].split(b"\r\n"):
@@ -107,6 +107,17 @@ def parse_header(data: bytes, at: int = 0) -> tuple[int, dict[str, str]] | None:
     return (end + len(GAP) - at, fields) if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
 
 
+def _until_gap(f, data: bytes) -> bytes:
+    """data and what follows in the file, up to the first GAP or the end of the file."""
+    parts, tail = [data], data[-len(GAP) + 1 :]
+    while more := f.read(LOOK):
+        parts.append(more)
+        if GAP in tail + more:
+            break
+        tail = (tail + more)[-len(GAP) + 1 :]
+    return b"".join(parts)
+
+
 def _candidates(step: int):
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +126,10 @@ def _candidates(step: int):
                 end = min(size, begin + step)
                 with fs.open_input_file(path) as f:
                     f.seek(begin)
-                    data = f.read(end - begin + MOST_HEADER)
+                    data = f.read(end - begin + LOOK)
+                    last = data.rfind(MAGIC, 0, end - begin + len(MAGIC) - 1)
+                    if last >= 0 and data.find(GAP, last) < 0:  # only behind the range's last magic an end can be missing
+                        data = _until_gap(f, data)
                 offsets, nexts, heads = [], [], []
                 at = data.find(MAGIC)
                 while 0 <= at < end - begin:
@@ -203,8 +217,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_warc(archives: DataFrame, step: int = RANGE) -> DataFrame:
-    """file, offset, fields (names in lower case) and payload of every record of the archives (file, size)."""
+    """file, offset, fields (names in lower case) and payload of every record of the archives (file, size).
+
+    Where archives also have records (the manifest of write_warc), it fails if a file is found to hold another number.
+    """
     found = record_offsets(archives, step)
+    if "records" in archives.columns:
+        found = materialize(found, "offsets")
+        held = archives.join(found.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where("coalesce(n, 0) != records")
+        if wrong := held.select("file", "records", F.coalesce("n", F.lit(0)).alias("n")).first():
+            raise ValueError(f"{wrong['file']} has {wrong['records']} records by its manifest, {wrong['n']} were found")
     tasks = 1 + (archives.agg(F.sum("size")).first()[0] or 0) // (4 * step)  # by what they will read, not by these small rows
     dealt = found.repartition(tasks, "file", F.floor(F.col("offset") / step))
     return dealt.mapInArrow(_records, "file string, offset long, fields map<string,string>, payload binary")
