@@ -29,6 +29,7 @@ RANGE = 8 << 20
 FILE = 128 << 20
 LOOK = 64 << 10  # bytes read behind a range at first for the header that begins in it; more until the header ends
 BROADCAST = 1 << 20  # rows of revisits (48 MB) up to which they are sent to all tasks instead of shuffling payloads
+TASKS = 100_000  # the most partitions of a step; a task then takes several ranges one by one
 
 
 def header(fields: list[tuple[str, str]]) -> bytes:
@@ -75,7 +76,7 @@ def _write(folder: str):
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
     """Write one record per row below folder; file, size and records of each archive, by tasks that ended.
 
-    The payload is the column in UTF-8, null as empty. Of rows with equal payloads of at least least bytes that with the
+    The payload is the column in UTF-8, null as empty. Ids of any type are written as text. Of rows with equal payloads of at least least bytes that with the
     smallest id is a response, all others revisit it and hold no payload; smaller ones are all responses. Rows with a null id are
     responses with the id "None" and lead nothing. Of rows with the same id and payload each is a response. No rows write
     no archive. Line breaks in a url are escaped.
@@ -166,11 +167,11 @@ def record_offsets(archives: DataFrame, step: int = RANGE) -> DataFrame:
     """file, offset, head, next of every record that the chain from the start of its file reaches.
 
     archives: file and size. A range of step bytes is a task's unit and bounds its memory. A file that doesn't begin with
-    a record has none; a file that is cut off ends with its last whole header.
+    a record has none; one that is cut off or damaged ends with the last header that the chain reaches (see broken).
     """
     prepare(archives.sparkSession)
     ranges = archives.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(step).cast("long"))).alias("begin"))
-    ranges = ranges.repartition(max(1, ranges.count()))
+    ranges = ranges.repartition(max(1, min(ranges.count(), TASKS)))
     found = materialize(ranges.mapInArrow(_candidates(step), "file string, begin long, offset long, head long, next long, exit long"), "candidates")
     jump = found.select("file", F.col("offset").alias("at"), F.col("exit").alias("to"))
     reached = found.where("offset = 0").select("file", F.lit(0).cast("long").alias("at"))
@@ -187,6 +188,14 @@ def record_offsets(archives: DataFrame, step: int = RANGE) -> DataFrame:
     return whole.mapInArrow(_follow, "file string, offset long, head long, next long")
 
 
+def broken(archives: DataFrame, found: DataFrame) -> DataFrame:
+    """file, size, reached and, where archives have it, records with n: the archives that found (see record_offsets) does
+    not hold whole, as their chain ends before the end of the file or behind it, or another number of records is there."""
+    ends = found.groupBy("file").agg(F.max("next").alias("reached"), F.count("*").alias("n"))
+    all_ = archives.join(ends, "file", "left").withColumns({"reached": F.coalesce("reached", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    return all_.where("reached != size OR n != records" if "records" in archives.columns else "reached != size")
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -216,18 +225,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def read_warc(archives: DataFrame, step: int = RANGE) -> DataFrame:
+def read_warc(archives: DataFrame, step: int = RANGE, strict: bool = True) -> DataFrame:
     """file, offset, fields (names in lower case) and payload of every record of the archives (file, size).
 
-    Where archives also have records (the manifest of write_warc), it fails if a file is found to hold another number.
+    It fails if a file's chain of records doesn't end where the file ends, be it cut off or damaged, or if archives also
+    have records (the manifest of write_warc) and another number is found. With strict False such files give the records
+    that the chain reaches and that lie in the file whole.
     """
-    found = record_offsets(archives, step)
-    if "records" in archives.columns:
-        found = materialize(found, "offsets")
-        held = archives.join(found.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where("coalesce(n, 0) != records")
-        if wrong := held.select("file", "records", F.coalesce("n", F.lit(0)).alias("n")).first():
+    found = materialize(record_offsets(archives, step), "offsets")
+    if strict:
+        if wrong := broken(archives, found).first():
+            if wrong["reached"] != wrong["size"]:
+                raise ValueError(f"{wrong['file']} has {wrong['size']} bytes, its records end at {wrong['reached']}")
             raise ValueError(f"{wrong['file']} has {wrong['records']} records by its manifest, {wrong['n']} were found")
-    tasks = 1 + (archives.agg(F.sum("size")).first()[0] or 0) // (4 * step)  # by what they will read, not by these small rows
+    else:
+        found = found.join(archives.select("file", "size"), "file").where("next <= size").drop("size")
+    tasks = min(TASKS, 1 + (archives.agg(F.sum("size")).first()[0] or 0) // (4 * step))  # by what they will read, not by these small rows
     dealt = found.repartition(tasks, "file", F.floor(F.col("offset") / step))
     return dealt.mapInArrow(_records, "file string, offset long, fields map<string,string>, payload binary")
 
