@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.llm.common import REST, materialize, prepare, read, rest
 
@@ -154,7 +155,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     but for all its lines in the largest id holding it. The filters get ten bits a line up to max_filter_bits (128 MB
     each at the default, which bounds the broadcast); beyond it more lines are suspected and shuffle, and the result is
     the same. Null and empty texts are one empty line. Rows with the same id are one document. Rows with a null id are
-    counted nowhere and kept whole. No rows give no rows.
+    counted nowhere and kept whole. Ids may have any type that has an order. No rows give no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -163,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits, twice = seen_twice(named, "text", min_chars, max_filter_bits)
     id_type = docs.schema["id"].dataType
     filter_ = spark.sparkContext.broadcast(twice)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    arrow = to_arrow_type(id_type)
     out = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc", id_type)])
     suspected = named.select("id", "text").mapInArrow(_suspects(filter_, bits, min_chars, arrow), out).dropDuplicates(["key", "doc"])
     suspected = materialize(suspected, "suspected")
