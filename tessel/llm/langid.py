@@ -22,9 +22,11 @@ from tessel.llm.common import REST, prepare, read, rest
 UNKNOWN = "und"
 HIDDEN = 16
 WINDOW = 128  # bytes
-ROWS = 4096  # windows that a worker runs at a time
+ROWS = 1024  # windows that a worker runs at a time, if the languages are few
+CELLS = 1 << 24  # position scores that a worker holds at a time (64 MB): windows x bytes x languages
 PER_LANG = 600  # labelled texts a language, about; the bound of the sample that trains
-MOST_LANGS = 256
+SAMPLE = 1 << 18  # labelled texts that train, about, whatever the number of languages (32 MB)
+LANGS = 1 << 14  # more languages than that are refused, not forgotten
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -155,8 +157,9 @@ def label_texts(network: Network, texts: list[bytes]) -> tuple[np.ndarray, np.nd
     flat, start, size, doc = windows(texts)
     order = np.argsort(-size, kind="stable")
     total, votes = np.zeros((len(texts), len(network.langs))), np.zeros((len(texts), len(network.langs)), np.int64)
-    for a in range(0, len(order), ROWS):
-        at = order[a : a + ROWS]
+    rows = max(1, min(ROWS, CELLS // (WINDOW * len(network.langs))))
+    for a in range(0, len(order), rows):
+        at = order[a : a + rows]
         wide = int(size[at[0]])
         x = flat[np.minimum(start[at][:, None] + np.arange(wide)[None, :], len(flat) - 1)]
         p, n = network.label(x, size[at])
@@ -168,13 +171,16 @@ def label_texts(network: Network, texts: list[bytes]) -> tuple[np.ndarray, np.nd
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, hidden: int = HIDDEN) -> Network | None:
     """A network trained on windows of about per_lang texts of each language, chosen by a hash of the id; None without any.
 
-    The most frequent MOST_LANGS languages are learned. Labels count in the training and nothing else does.
+    Where the languages are many, so few of each that they are about SAMPLE in all, and one at least. Every language with a labelled text is learned; a table with more than LANGS is refused. Labels count in the training
+    and nothing else does.
     """
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text RLIKE '\\\\p{L}' AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").count().limit(LANGS + 1).collect()
     if not counts:
         return None
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], float(per_lang / r["count"])) for r in counts], "lang string, share double")
+    if len(counts) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], max(1, min(per_lang, SAMPLE // len(counts))) / r["count"]) for r in counts], "lang string, share double")
     at = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     found = sorted(drawn.select("lang", F.substring("text", at, F.lit(WINDOW)).alias("t")).collect())
@@ -183,7 +189,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     network = Network(sorted({r["lang"] for r in found}), hidden)
     raw = [r["t"].encode("utf-8", "surrogatepass")[:WINDOW] for r in found]
     x = np.array([np.frombuffer(t.ljust(WINDOW, b"\0"), np.uint8) for t in raw])
-    network.train(x, np.array([len(t) for t in raw]), np.array([network.langs.index(r["lang"]) for r in found]))
+    batch = max(1, min(128, CELLS // (4 * WINDOW * len(network.langs))))
+    network.train(x, np.array([len(t) for t in raw]), np.searchsorted(network.langs, [r["lang"] for r in found]), batch=batch)
     return network
 
 
@@ -192,21 +199,22 @@ def _identify(held):
         network = held.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if network else []
+            lettered = [bool(t and _LETTER.search(t)) for t in texts]
+            some = [i for i, x in enumerate(lettered) if x] if network else []
             langs, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if some:
                 p, votes = label_texts(network, [texts[i].encode("utf-8", "surrogatepass") for i in some])
                 best = p.argmax(axis=1)
                 for i, k, row, n in zip(some, best.tolist(), p, votes, strict=True):
                     langs[i], scores[i], shares[i] = network.langs[k], min(1.0, float(row[k])), float(n[k] / max(n.sum(), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(scores, pa.float64()), pa.array(shares, pa.float64()), batch.column(2)], names=["id", "text", "lang_pred", "score", "position_share", REST])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(scores, pa.float64()), pa.array(shares, pa.float64()), pa.array(lettered, pa.bool_()), batch.column(2)], names=["id", "text", "lang_pred", "score", "position_share", "lettered", REST])
 
     return identify
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, lang_pred, score (its pooled probability), position_share (of positions labelled so) and the other
-    columns as the struct _rest, a row per input row.
+    """id, text, lang_pred, score (its pooled probability), position_share (of positions labelled so), lettered (whether
+    the text has a letter) and the other columns as the struct _rest, a row per input row.
 
     Only whole texts are read. A text that is null or has no letter is "und" with score 0, and so is every text without
     a network. Null and repeated ids pass through; equal texts get equal results; ties go to the first language in
@@ -214,7 +222,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), rest(docs, id_col, text_col))
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("position_share", T.DoubleType())]
+    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("position_share", T.DoubleType()), T.StructField("lettered", T.BooleanType())]
     schema = T.StructType([*rows.schema.fields[:2], *extra, rows.schema[REST]])
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(network)), schema)
 
