@@ -1,32 +1,58 @@
 """Pseudonyms for personal data by keyed permutations that keep the format.
 
-One pattern finds candidates; each is validated (octets, calendar, Luhn, IBAN check digits, number plans) and what is
-valid is mapped by a Feistel network within the values of its format, check digits anew. The map is a permutation that
-depends on the key and the kind only, so equal values get equal pseudonyms in all documents and different ones stay
-different. Everything is a SQL expression over one scan: no shuffle, no Python on the executors.
+One pattern finds candidates, of which no two kinds share a form; each is validated (octets,
+calendar, IBAN check digits, number plans) and what is valid is mapped by a Feistel network within the values of its
+format, check digits anew. Cards are looked for in what lies between: of a run of digit groups the longest stretch with a
+right check digit counts. The map is a permutation that depends on the key and the kind only, so equal values get equal
+pseudonyms in all documents and different ones stay different. Everything is a SQL expression over one scan: no shuffle,
+no Python on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import REST, read, rest
 
-KEY = "change-me"
+#: The session's setting that holds the key of the permutations.
+KEY_CONF = "spark.tessel.pii.key"
 ROUNDS = 10
 
+# Characters of an IBAN by country, from the public registry of ISO 13616.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    """Exactly a country's number of characters, with or without spaces in between, so that no word behind is taken along."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    each = "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{each})(?![A-Za-z0-9])"
+
+
 # Formats.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"\bAKIA[A-Z0-9]{16}\b|(?<=password=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<=[\"'])[0-9a-f]{40}(?=[\"'])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": _iban_pattern(),
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9]|[-.][0-9])",
     "date": r"(?<![0-9A-Za-z/.-])[12][0-9]{3}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|[/.-][0-9])|(?<![0-9A-Za-z/.-])[0-9]{2}([/.])[0-9]{2}\1[12][0-9]{3}(?![0-9A-Za-z]|[/.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
+    "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
 KINDS = tuple(PATTERNS)
 
@@ -141,62 +167,90 @@ def _ip(key: str) -> str:
 
 
 def _card(key: str) -> str:
-    """The first digit stays, the check digit follows from the others."""
+    """A struct (text, pseudonym) for a run of digit groups: that of the longest stretch of whole groups that is a card.
+
+    Of equally long ones the first counts. The first digit stays, the check digit follows from the others. Both are the
+    run and null where no stretch is a card.
+    """
     body = _let("bd", "substr(dg, 2, length(dg) - 2)", _let("pl", f"concat(substr(dg, 1, 1), {_digits(key, 'card', 'bd')})", f"concat(pl, {_luhn('pl')})"))
-    return _let("dg", _only("m", "0-9"), f"if(luhn_check(dg) AND dg RLIKE '[1-9]', {_let('nw', body, _refill('m', 'nw', '[0-9]'))}, NULL)")
+    starts = "filter(sequence(1, length(m)), i -> i = 1 OR substr(m, i - 1, 1) IN (' ', '-'))"
+    ends = "filter(sequence(1, length(m)), i -> i = length(m) OR substr(m, i + 1, 1) IN (' ', '-'))"
+    spans = f"flatten(transform({starts}, b -> transform(filter({ends}, e -> e > b), e -> named_struct('b', b, 'e', e, 'dg', {_only('substr(m, b, e - b + 1)', '0-9')}))))"
+    good = f"filter({spans}, s -> length(s.dg) BETWEEN 13 AND 19 AND luhn_check(s.dg) AND s.dg RLIKE '[1-9]')"
+    best = f"array_sort({good}, (x, y) -> CASE WHEN length(x.dg) <> length(y.dg) THEN length(y.dg) - length(x.dg) ELSE x.b - y.b END)"
+    new = _let("dg", "sp.dg", _let("mm", "substr(m, sp.b, sp.e - sp.b + 1)", _let("nw", body, _refill("mm", "nw", "[0-9]"))))
+    told = _let("pn", new, "named_struct('text', concat(substr(m, 1, sp.b - 1), pn, substr(m, sp.e + 1)), 'pseudonym', pn)")
+    return _let("bs", best, f"if(size(bs) = 0, named_struct('text', m, 'pseudonym', CAST(NULL AS string)), {_let('sp', 'element_at(bs, 1)', told)})")
+
+
+_MAPS = {"email": _email, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip}
 
 
-_MAPS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
+#: What tells the kinds but credentials apart in a match: no two patterns share a form. Credentials have a group of their own.
+FORMS = {
+    "email": "@", "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+    "ip": "^[0-9]{1,3}([.][0-9]{1,3}){3}$", "iban": "^[A-Z]{2}", "phone": "",
+}
 
 
 def _grouped() -> str:
-    """All kinds as one pattern, a named group each; the separator of a date is referred to by name."""
-    return "|".join(f"(?:{p.replace('([/.])', '(?<sep>[/.])').replace(chr(92) + '1', chr(92) + 'k<sep>')})" for p in PATTERNS.values())
+    """All kinds but cards as one pattern; its first group is a credential."""
+    kinds = ["secret", *FORMS]
+    return "|".join(f"({PATTERNS[k]})" if k == "secret" else PATTERNS[k].replace(r"\1", r"\2") for k in kinds)
 
 
-def _whole(kind: str) -> str:
-    """The kind's pattern without what it asks of the characters around, for a match alone."""
-    bare = {
-        "email": "^[^@]+@", "secret": "^(AKIA[A-Z0-9]{16}|[A-Za-z0-9]{8,64})$", "iban": "^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$", "phone": "^[+(]|^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$",
-        "date": "^[12][0-9]{3}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([/.])[0-9]{2}\\\\1[12][0-9]{3}$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": "^[0-9]{1,3}([.][0-9]{1,3}){3}$", "card": "^[0-9][0-9 -]{11,}[0-9]$",
-    }
-    return bare[kind]
+def _cards(key: str, text: str) -> str:
+    """A struct (text, found) for a stretch of text: its cards in pseudonyms."""
+    card = _text(PATTERNS["card"])
+    done = f"transform(regexp_extract_all(p, {card}, 0), m -> {_card(key)})"
+    joined = f"array_join(zip_with(split(p, {card}, -1), concat(cs.text, array('')), (a, b) -> concat(a, b)), '')"
+    found = "transform(filter(cs, c -> c.pseudonym IS NOT NULL), c -> named_struct('kind', 'card', 'pseudonym', c.pseudonym))"
+    some = _let("cs", done, f"named_struct('text', {joined}, 'found', {found})")
+    none = "named_struct('text', p, 'found', CAST(array() AS array<struct<kind:string,pseudonym:string>>))"
+    return _let("p", text, f"if(p RLIKE '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]', {some}, {none})")
 
 
 def _mapped(key: str) -> str:
-    """A struct (kind, pseudonym) for the match m; the pseudonym is null where validation fails.
+    """A struct (text, found) for the match m, a credential where secret says so; where validation fails, its cards only."""
+    cases = " ".join(f"WHEN m RLIKE '{form}' THEN named_struct('kind', '{k}', 'pn', {_MAPS[k](key)})" for k, form in FORMS.items())
+    told = f"CASE WHEN secret THEN named_struct('kind', 'secret', 'pn', {_secret(key)}) {cases} END"
+    valid = "named_struct('text', r.pn, 'found', array(named_struct('kind', r.kind, 'pseudonym', r.pn)))"
+    return _let("r", told, f"if(r.pn IS NOT NULL, {valid}, {_cards(key, 'm')})")
 
-    All matches of a kind's bare form reach its map; digits alone of card length are cards before they are secrets, and
-    a card that has digits in groups is none of the earlier kinds.
-    """
-    order = ("email", "date", "ssn", "ip", "card", "phone", "iban", "secret")
-    cases = " ".join(f"WHEN m RLIKE '{_whole(k)}' THEN named_struct('kind', '{k}', 'pseudonym', {_MAPS[k](key)})" for k in order)
-    return f"CASE {cases} ELSE named_struct('kind', 'none', 'pseudonym', CAST(NULL AS string)) END"
+
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_CONF; where that is unset, one drawn at random for this session, which links its pseudonyms only."""
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY_CONF, found)
+    return found
 
 
-def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, safe_text, found (array of kind and pseudonym, in order) and the other columns as the struct _rest, a row per input row.
 
     safe_text is the whole text with every valid value in place of its pseudonym and nothing else changed. Kinds: see
-    PATTERNS; credentials are treated like personal data. Null texts stay null, with none found; null and repeated ids
-    pass through. No rows give no rows. The key ends up in the plan: keep plans as secret as the key.
+    PATTERNS; credentials are treated like personal data, and what stands where one kind is found is of no other kind
+    unless it fails validation and holds a card. Null texts stay null, with none found; null and repeated ids pass
+    through. No rows give no rows. An empty key is refused. The key ends up in the plan: keep plans as secret as the key.
     """
-    pattern = _text(_grouped())
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    pattern, few = _text(_grouped()), _text("[0-9@]|AKIA|password=|[\"'][a-f]{40}")  # each kind has one of these few
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), rest(docs, id_col, text_col))
-    some = "text RLIKE '[0-9@]'"  # every kind has a digit or an at sign, but for a credential of letters, which none is
-    rows = rows.withColumn("matches", F.expr(f"if({some}, regexp_extract_all(text, {pattern}, 0), array())"))
-    rows = rows.withColumn("mapped", F.expr(f"transform(matches, m -> {_mapped(key)})"))
-    joined = f"array_join(zip_with(split(text, {pattern}, -1), concat(zip_with(matches, mapped, (o, n) -> coalesce(n.pseudonym, o)), array('')), (a, b) -> concat(a, b)), '')"
-    return rows.select(
-        "id",
-        F.expr(f"if(text IS NOT NULL AND exists(mapped, x -> x.pseudonym IS NOT NULL), {joined}, text)").alias("safe_text"),
-        F.expr("coalesce(filter(mapped, x -> x.pseudonym IS NOT NULL), array())").alias("found"),
-        REST,
-    )
+    rows = rows.withColumn("matches", F.expr(f"if(text RLIKE {few}, regexp_extract_all(text, {pattern}, 0), NULL)"))
+    rows = rows.withColumn("secrets", F.expr(f"if(size(matches) > 0, transform(regexp_extract_all(text, {pattern}, 1), x -> x <> ''), array())"))
+    rows = rows.withColumn("mapped", F.expr(f"zip_with(matches, secrets, (m, secret) -> {_mapped(key)})"))
+    rows = rows.withColumn("between", F.expr(f"if(matches IS NULL, NULL, transform(if(size(matches) > 0, split(text, {pattern}, -1), array(text)), q -> {_cards(key, 'q')}))"))
+    end = "array(named_struct('text', '', 'found', CAST(array() AS array<struct<kind:string,pseudonym:string>>)))"
+    rows = rows.withColumn("parts", F.expr(f"flatten(zip_with(between, concat(mapped, {end}), (a, b) -> array(a, b)))"))
+    rows = rows.withColumn("found", F.expr("coalesce(flatten(parts.found), array())"))
+    return rows.select("id", F.expr("if(size(found) > 0, array_join(parts.text, ''), text)").alias("safe_text"), "found", REST)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: every whole text of documents with personal data in pseudonyms, and how many of each kind it had."""
-    out = pseudonymize(read(spark, sf_dir, "documents"))
+    out = pseudonymize(read(spark, sf_dir, "documents"), session_key(spark))
     counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("id").alias("doc_id"), F.col("safe_text").alias("text"), F.size("found").cast("long").alias("n_found"), *counts)
