@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import langid, line_dedup, packing, pii, shingles
+from tessel.llm import langid, line_dedup, packing, pii, simhash
 from tessel.llm.common import carried, materialize, read
 
 
@@ -19,15 +19,13 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those whose text is null or has no letter go. lang becomes the predicted one.
+    """Documents that have a language: those whose text is null or has no letter go. lang becomes the predicted one.
 
-    The network learns from the labelled rows of docs that are not held out. Without any such row nothing can be
-    predicted, and all documents stay as they are.
+    The network learns from the labelled rows of docs that are not held out. Where there is none no language is known, and
+    lang becomes "und"; the rule of what stays is the same.
     """
     network = langid.fit(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
-    if network is None:
-        return docs
-    found = langid.identify(docs, network).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = langid.identify(docs, network).where("lettered")
     return carried(docs, found, doc_id="id", text="text", lang="lang_pred")
 
 
@@ -42,13 +40,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies have a Jaccard similarity of 0.8 or more in their sets of five-word shingles, or are linked by others that
     have. Of rows with the same doc_id all stay if that id does.
     """
-    groups = materialize(shingles.shingle_groups(docs).where("id != component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(groups, F.col("doc_id") == F.col("__gone"), "left_anti")
+    groups = simhash.near_copy_groups(docs).where("id != component_id").select(F.col("id").alias("gone")).distinct()
+    held = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held.join(materialize(groups, "gone"), F.col("id") == F.col("gone"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in pseudonyms."""
-    return _sized(carried(docs, pii.pseudonymize(docs), doc_id="id", text="safe_text"))
+    return _sized(carried(docs, pii.pseudonymize(docs, pii.session_key(spark)), doc_id="id", text="safe_text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,9 @@
-"""Groups of texts whose word shingles have at least a given Jaccard similarity: MinHash bands, confirmed exactly.
-
-Texts with equal shingle sets collapse to one. Sets that share a band of MinHash values are linked to the smallest one
-of the band; the components of these links hold all pairs that can be near copies, and are often larger than a group of
-them. Within a component every pair is compared by the exact similarity of its sets, block by block, and only what that
-confirms links. A pair at the similarity 0.8 shares none of the bands with a probability of 5e-6, a closer one less.
-"""
+"""Word shingles of texts, links as forests, and the exact similarity of shingle sets within candidate groups."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,55 +11,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import materialize, prepare
-from tessel.llm.simhash import SEED, forest, shingle_hashes
-from tessel.operators.graph import components
+from tessel.llm.common import materialize
 
-BANDS, WIDTH = 40, 6
+SEED = 42
 BLOCK = 1024  # sets of a block, as a mean
 VOLUME = 1 << 21  # shingles of a block, as a mean
 
-_RNG = np.random.default_rng(SEED)
-_XOR, _ODD = _RNG.integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) << np.uint64(1) | np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, WIDTH), np.uint64) << np.uint64(1) | np.uint64(1)
-
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each band of MinHash values of a set that isn't empty."""
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max)
-    for i in range(0, len(own), 256):
-        least = np.minimum(least, ((own[i : i + 256, None] ^ _XOR) * _ODD).min(axis=0))
-    mixed = (least.reshape(BANDS, WIDTH) >> np.uint64(7)) * _MIX
-    return (mixed ^ mixed >> np.uint64(29)).sum(axis=1, dtype=np.uint64) * _ODD[:BANDS] + _XOR[:BANDS]
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; of the whole sequence where it has fewer words."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(own), xxhash.xxh64_intdigest
+    if len(own) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in own))
+    starts = [0, *ends]
+    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)), np.uint64, len(own) - words + 1)
 
 
-def _set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def _digest(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes(), SEED)
-
-
-def _sketches(words: int):
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_set(t, words) for t in batch.column(1).to_pylist()]
-            node = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-            found = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-            yield pa.record_batch({"doc": batch.column(0), "node": pa.array(node, pa.int64()), "bands": pa.array(found, pa.list_(pa.int64()))})
-
-    return sketches
-
+def set_id(own: np.ndarray) -> int:
+    """A signed 64-bit number for a set."""
+    found = xxhash.xxh3_64_intdigest(own.tobytes(), SEED)
+    return found - (1 << 64) * (found >> 63)
 
-def _sets(words: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = ((n, c, _set(t, words)) for n, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True))
-            rows = [(n, c, s) for n, c, s in rows if _digest(s) - (1 << 64) * (_digest(s) >> 63) == n]  # an id can have other texts
-            yield pa.record_batch({"node": pa.array([r[0] for r in rows], pa.int64()), "comp": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([len(r[2]) for r in rows], pa.int64()), "own": pa.array([r[2].tobytes() for r in rows], pa.binary())})
 
-    return sets
+def forest(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger, smallest node of its group) that join what the pairs a[rows], b[cols] join."""
+    nodes, at = np.unique(np.concatenate([a[rows], b[cols]]), return_inverse=True)
+    x, y = at[: len(rows)], at[len(rows) :]
+    group = np.arange(len(nodes))
+    while True:
+        low, was = np.minimum(group[x], group[y]), group.copy()
+        np.minimum.at(group, x, low)
+        np.minimum.at(group, y, low)
+        group = group[group]
+        if (group == was).all():
+            break
+    moved = np.flatnonzero(group != np.arange(len(nodes)))
+    return nodes[moved], nodes[group[moved]]
 
 
 def near_pairs(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +75,16 @@ def near_pairs(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def _sets(words: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((n, c, shingle_set(t, words)) for n, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+            rows = [(n, c, s) for n, c, s in rows if set_id(s) == n]  # an id can have other texts
+            yield pa.record_batch({"node": pa.array([r[0] for r in rows], pa.int64()), "comp": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([len(r[2]) for r in rows], pa.int64()), "own": pa.array([r[2].tobytes() for r in rows], pa.binary())})
+
+    return sets
+
+
 def _confirm(least: float):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,23 +97,13 @@ def _confirm(least: float):
     return confirm
 
 
-def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """id and component_id (the smallest id reachable by links, itself included), a row per row of docs that has an id.
+def confirmed(docs: DataFrame, held: DataFrame, words: int, least: float) -> DataFrame:
+    """u, v: links that join all sets of a candidate group with a Jaccard similarity of at least least.
 
-    Texts link whose sets of word shingles have a Jaccard similarity of at least least; a text with fewer words than a
-    shingle has its whole sequence as the only one. The bands are made for 0.8 and more. Texts without words, null ones
-    included, are copies of each other. Rows with the same id stay apart as rows and link by their own texts. Rows with a
-    null id are left out and link nothing. Ids are whole numbers. No rows give no rows.
+    docs: doc and text; held: doc, node (its set) and comp (the set's group). Within a group every pair of sets is
+    compared, block by block, so that no task holds more than two blocks of a large group.
     """
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc IS NOT NULL")
-    sketches = materialize(docs.mapInArrow(_sketches(words), "doc long, node long, bands array<long>"), "sketches")
-    distinct = materialize(sketches.groupBy("node").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "distinct")
-    keys = distinct.select("node", F.explode("bands").alias("key"))
-    first = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
-    loose = keys.join(first, "key").where("node != low").select("node", "low").distinct()
-    held = components(loose, "node", "low").join(distinct, "node").select(F.col("rep").alias("doc"), "node", "comp")
-    mine = docs.join(materialize(held, "held"), "doc").select("node", "comp", "text")
+    mine = docs.join(held, "doc").select("node", "comp", "text")
     sets = materialize(mine.mapInArrow(_sets(words), "node long, comp long, n long, own binary").dropDuplicates(["node"]), "sets")
     sizes = sets.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).alias("parts"))
     dealt = sets.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -123,8 +113,4 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = blocks.where("part + 1 < parts").select("comp", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = blocks.where("parts > 1").select("comp", "part", F.col("n").alias("nb"), F.col("s").alias("sb"))
     tiles = alone.unionByName(left.join(right, ["comp", "part"]).select("na", "sa", "nb", "sb"))  # a row per pair of blocks
-    links = tiles.mapInArrow(_confirm(least), "u long, v long").distinct()
-    of = distinct.select("node", "rep").join(components(links, "u", "v"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = materialize(of.join(lowest, "comp").select("node", "component_id"), "groups")
-    return sketches.select("doc", "node").join(of, "node").select(F.col("doc").alias("id"), "component_id")
+    return tiles.mapInArrow(_confirm(least), "u long, v long").distinct()
