@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.llm.common import materialize, prepare, read
+from tessel.llm.shingles import forest
 from tessel.operators.graph import components
-from tessel.llm.simhash import forest
 
-WORDS = 8  # of each codebook; the cells of a vector then fit the bits of a long
+WORDS, MOST_WORDS = 8, 256  # of each codebook: so many that a cell holds about a block, from 64 up to 65536 cells
 SAMPLE = 4096  # vectors that fit the codebooks and calibrate the bound
 BLOCK = 1024
 RECALL = 0.999  # of pairs at the threshold, in the calibration
+PART = 64  # rows whose walls are held at a time: 64 x 256 x 256 numbers at most
 SMALL = 1 << 18  # rows of the table of cell sizes (8 MB) up to which it is broadcast
 
 
@@ -54,9 +55,18 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def bounds(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The squared distance of each row to each centre's Voronoi cell, from below: that to the farthest of its walls."""
     d = distances(rows, centres)
-    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=-1))
-    wall = np.where(apart > 1e-12, (d[:, :, None] - d[:, None, :]) / (2 * np.maximum(apart, 1e-12)), 0)
-    return np.maximum(wall.max(axis=2), 0) ** 2
+    apart = np.sqrt(np.maximum(distances(centres, centres), 0))
+    out = np.empty_like(d)
+    for i in range(0, len(rows), PART):
+        part = d[i : i + PART]
+        wall = np.where(apart > 1e-9, (part[:, :, None] - part[:, None, :]) / (2 * np.maximum(apart, 1e-9)), 0)
+        out[i : i + PART] = np.maximum(wall.max(axis=2), 0) ** 2
+    return out
+
+
+def words_for(rows: int) -> int:
+    """The words of each codebook for so many vectors: the grid grows with them."""
+    return min(MOST_WORDS, max(WORDS, int(np.ceil(np.sqrt(rows / BLOCK)))))
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, stop: float) -> Iterator[tuple[int, int]]:
@@ -78,21 +88,20 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def fit(sample: np.ndarray, threshold: float, recall: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(sample: np.ndarray, threshold: float, recall: float, words: int = WORDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """Codebooks of the halves, and the bound within which a partner at the threshold lies with the recall asked for.
 
     Partners are drawn in random directions at exactly the threshold; the bound is the quantile of what they need. With
     a recall of 1 it is the squared distance at the threshold, beyond which no partner can lie.
     """
     half = sample.shape[1] // 2
-    books = codebook(sample[:, :half]), codebook(sample[:, half:])
+    books = codebook(sample[:, :half], words), codebook(sample[:, half:], words)
     most = 2 - 2 * threshold
     if recall >= 1:
         return *books, most * (1 + 1e-9)
     rng = np.random.default_rng(seed)
-    noise = rng.normal(size=(8, *sample.shape))
     need = []
-    for n in noise:
+    for n in (rng.normal(size=sample.shape) for _ in range(8)):
         side = n - (n * sample).sum(axis=1, keepdims=True) * sample
         size = np.sqrt((side * side).sum(axis=1, keepdims=True))
         other = threshold * sample + (1 - threshold**2) ** 0.5 * side / np.maximum(size, 1e-12)
@@ -107,7 +116,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def _assign(index: dict):
+def _assign(index: dict, words: int):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, visits = [0] * batch.num_rows, [[0]] * batch.num_rows
@@ -118,21 +127,32 @@ def _assign(index: dict):
                     u = unit(_matrix(batch.column(1).take(pa.array(at))))
                     half = dim // 2
                     la, lb = bounds(u[:, :half], a), bounds(u[:, half:], b)
-                    own = distances(u[:, :half], a).argmin(axis=1) * WORDS + distances(u[:, half:], b).argmin(axis=1)
+                    own = distances(u[:, :half], a).argmin(axis=1) * words + distances(u[:, half:], b).argmin(axis=1)
                     for i, cell, x, y in zip(at.tolist(), own.tolist(), la, lb, strict=True):
                         cells[i] = cell
-                        visits[i] = sorted({cell, *(p * WORDS + q for p, q in multi_sequence(x, y, stop))})
+                        visits[i] = sorted({cell, *(p * words + q for p, q in multi_sequence(x, y, stop))})
             yield pa.record_batch({"rep": batch.column(0), "cell": pa.array(cells, pa.int32()), "visits": pa.array(visits, pa.list_(pa.int32()))})
 
     return assign
 
 
+def _visited(visits: pa.ListArray, cells: np.ndarray) -> np.ndarray:
+    """Whether each cell is in each list of cells, a row per cell."""
+    own, at = np.unique(cells, return_inverse=True)
+    flat, row = visits.flatten().to_numpy(), np.repeat(np.arange(len(visits)), np.asarray(visits.value_lengths()))
+    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    there = np.zeros((len(own), len(visits)), bool)
+    hit = own[place] == flat
+    there[place[hit], row[hit]] = True
+    return there[at]
+
+
 def _tile(threshold: float):
     def tile(table: pa.Table) -> pa.Table:
         """Counts (rep, null, links) and links (u, v, null) of one pair of blocks."""
         table = table.combine_chunks()
         member = table["member"].to_numpy(zero_copy_only=False).astype(bool)
-        rep, weight, cell, mask = (table[c].to_numpy() for c in ("rep", "weight", "own", "mask"))
+        rep, weight, cell = (table[c].to_numpy() for c in ("rep", "weight", "own"))
         at, by = np.flatnonzero(member), np.flatnonzero(~member)
         counts, us, vs = np.zeros(len(rep), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(at) and len(by):
@@ -140,8 +160,8 @@ def _tile(threshold: float):
             near = u[by] @ u[at].T >= threshold
             near &= rep[by][:, None] != rep[at][None, :]
             counts[by] = near @ weight[at]
-            back = (mask[at][None, :] >> cell[by][:, None].astype(np.int64)) & 1  # does the member come to the visitor's cell?
-            counts[at] += (near & (back == 0)).T @ weight[by]
+            back = _visited(table["visits"].combine_chunks().take(pa.array(at)), cell[by])  # does the member come to the visitor's cell?
+            counts[at] += (near & ~back).T @ weight[by]
             us, vs = forest(*np.nonzero(near), rep[by], rep[at])
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64()), pa.nulls(len(us), pa.int64())
@@ -150,14 +170,15 @@ def _tile(threshold: float):
     return tile
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = RECALL) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = RECALL, words: int | None = None) -> DataFrame:
     """id, n_links, component_id and kept (id is its component's smallest), a row per input row.
 
     Vectors of the same length and label link at a cosine of at least threshold in double precision, each pair found
     with the recall of the calibration (see fit; 1 finds all). n_links counts the other rows linked directly, equal
     vectors included; component_id is the smallest id reachable. Vectors that are null, empty, zero or hold null or
     non-finite components, and those with a null label, link with nothing. A null id links with nothing and has neither
-    component nor kept. Ids are whole numbers. Other columns are not read. No rows give no rows.
+    component nor kept. Ids are whole numbers. Other columns are not read. No rows give no rows. words of each codebook
+    follow from the number of vectors (see words_for) unless they are given.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -172,21 +193,21 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     by_dim: dict[int, list] = {}
     for (v,) in drawn:
         by_dim.setdefault(len(v), []).append(v)
-    index = {dim: fit(unit(np.array(v)), threshold, recall) for dim, v in by_dim.items() if dim > 1}
+    words = words or words_for(total)
+    index = {dim: fit(unit(np.array(v)), threshold, recall, words) for dim, v in by_dim.items() if dim > 1}
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
-    found = distinct.select("rep", "vec").mapInArrow(_assign(index), schema)
+    found = distinct.select("rep", "vec").mapInArrow(_assign(index, words), schema)
     placed = distinct.join(found, "rep").withColumn("dim", F.size("vec")).withColumnRenamed("cell", "own")
-    placed = placed.withColumn("mask", F.expr("aggregate(visits, 0L, (m, c) -> m | shiftleft(1L, c))"))
     placed = materialize(placed, "placed")
     key = ["label", "dim", "cell"]
-    visits = placed.withColumn("cell", F.explode("visits"))
+    visits = placed.withColumn("cell", F.explode("visits")).withColumn("visits", F.array().cast("array<int>"))  # only members' are asked
     sizes = placed.withColumn("cell", F.col("own")).groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("mbs"))
     sizes = materialize(sizes.join(visits.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("vbs")), key), "sizes")
     if sizes.count() <= SMALL:
         sizes = F.broadcast(sizes)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    cols = [*key, "mb", "vb", "member", "rep", "weight", "own", "mask", "vec"]
+    cols = [*key, "mb", "vb", "member", "rep", "weight", "own", "visits", "vec"]
     members = placed.withColumn("cell", F.col("own")).join(sizes, key).withColumns({"member": F.lit(True), "mb": dealt("mbs"), "vb": spread("vbs")})
     visitors = visits.join(sizes, key).withColumns({"member": F.lit(False), "vb": dealt("vbs"), "mb": spread("mbs")})
     tiles = members.select(cols).unionByName(visitors.select(cols)).groupBy(*key, "mb", "vb").applyInArrow(_tile(threshold), "u long, v long, n long")
