@@ -81,10 +81,10 @@ def test_hmm(spark):
 
 def test_pii(spark):
     d = docs(spark, [(1, "call +1 (265) 555-5428", "en"), (2, None, "en"), (None, "a@b.org", "en"), (3, "", "en"), (4, LONG, "en")])
-    out = {r["id"]: r for r in pii.pseudonymize(d).collect()}
+    out = {r["id"]: r for r in pii.pseudonymize(d, "key").collect()}
     assert out[2]["safe_text"] is None and out[3]["safe_text"] == "" and out[4]["safe_text"] == LONG
     assert [x["kind"] for x in out[1]["found"]] == ["phone"] and [x["kind"] for x in out[None]["found"]] == ["email"]
-    assert pii.pseudonymize(docs(spark, [])).count() == 0
+    assert pii.pseudonymize(docs(spark, []), "key").count() == 0
 
 
 def vectors(spark, rows):

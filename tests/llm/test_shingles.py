@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tessel.llm import shingles
+from tessel.llm import shingles, simhash
 
 
 def _plain(text, words=5):
@@ -47,7 +47,8 @@ def test_groups_are_exact(spark, monkeypatch):
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
     for block in (1024, 3):
         monkeypatch.setattr(shingles, "BLOCK", block)
-        out = shingles.shingle_groups(docs).collect()
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        out = simhash.near_copy_groups(docs).collect()
         assert len(out) == len(texts)
         assert {r["id"]: r["component_id"] for r in out} == want
 
@@ -55,7 +56,7 @@ def test_groups_are_exact(spark, monkeypatch):
 def test_rows_with_the_same_id(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     docs = spark.createDataFrame([(1, a), (1, b), (2, b + " end"), (3, a + " end"), (4, c)], "doc_id long, text string")
-    assert sorted((r["id"], r["component_id"]) for r in shingles.shingle_groups(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((r["id"], r["component_id"]) for r in simhash.near_copy_groups(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
 def test_near_pairs():
