@@ -77,14 +77,36 @@ def near_pairs(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # an id can have the same text many times
         for batch in batches:
-            rows = ((n, c, shingle_set(t, words)) for n, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True))
-            rows = [(n, c, s) for n, c, s in rows if set_id(s) == n]  # an id can have other texts
-            yield pa.record_batch({"node": pa.array([r[0] for r in rows], pa.int64()), "comp": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([len(r[2]) for r in rows], pa.int64()), "own": pa.array([r[2].tobytes() for r in rows], pa.binary())})
+            rows = []
+            for node, comp, part, parts, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if node not in done and set_id(own := shingle_set(text, words)) == node:  # an id can have other texts
+                    done.add(node)
+                    rows.append((comp, part, parts, node, own.tobytes()))
+            yield pa.record_batch({k: pa.array([r[i] for r in rows], pa.binary() if k == "own" else pa.int64()) for i, k in enumerate(("comp", "part", "parts", "node", "own"))})
 
     return sets
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block of rows that come in its order, each node once."""
+    key, held = None, {}
+
+    def block() -> pa.RecordBatch:
+        return pa.record_batch({"comp": pa.array([key[0]], pa.int64()), "part": pa.array([key[1]], pa.int64()), "parts": pa.array([key[2]], pa.int64()), "n": pa.array([list(held)], pa.list_(pa.int64())), "s": pa.array([list(held.values())], pa.list_(pa.binary()))})
+
+    for batch in batches:
+        for comp, part, parts, node, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if key != (comp, part, parts):
+                if key:
+                    yield block()
+                key, held = (comp, part, parts), {}
+            held.setdefault(node, own)
+    if key:
+        yield block()
+
+
 def _confirm(least: float):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,15 +122,16 @@ def _confirm(least: float):
 def confirmed(docs: DataFrame, held: DataFrame, words: int, least: float) -> DataFrame:
     """u, v: links that join all sets of a candidate group with a Jaccard similarity of at least least.
 
-    docs: doc and text; held: doc, node (its set) and comp (the set's group). Within a group every pair of sets is
-    compared, block by block, so that no task holds more than two blocks of a large group.
+    docs: doc and text; held: doc, node (its set), n (the set's size) and comp (the set's group). Within a group every
+    pair of sets is compared, block by block, so that no task holds more than two blocks of a large group. Sets move once.
     """
-    mine = docs.join(held, "doc").select("node", "comp", "text")
-    sets = materialize(mine.mapInArrow(_sets(words), "node long, comp long, n long, own binary").dropDuplicates(["node"]), "sets")
-    sizes = sets.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).alias("parts"))
-    dealt = sets.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    blocks = dealt.groupBy("comp", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("node", "own")).alias("rows"))
-    blocks = materialize(blocks.select("comp", "part", "parts", F.col("rows.node").alias("n"), F.col("rows.own").alias("s")), "blocks")
+    sizes = held.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).alias("parts"))
+    held = held.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    held = materialize(held.select("doc", "node", "comp", "part", "parts"), "held")
+    mine = docs.join(held, "doc").select("node", "comp", "part", "parts", "text")
+    sets = mine.mapInArrow(_sets(words), "comp long, part long, parts long, node long, own binary")
+    sets = sets.repartition("comp", "part").sortWithinPartitions("comp", "part")
+    blocks = materialize(sets.mapInArrow(_blocks, "comp long, part long, parts long, n array<long>, s array<binary>"), "blocks")
     alone = blocks.select(F.col("n").alias("na"), F.col("s").alias("sa"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     left = blocks.where("part + 1 < parts").select("comp", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = blocks.where("parts > 1").select("comp", "part", F.col("n").alias("nb"), F.col("s").alias("sb"))

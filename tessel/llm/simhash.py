@@ -69,13 +69,13 @@ def _compare(radius: int):
     return compare
 
 
-def _tiles(rows: DataFrame, keys: list[str], steps: list[tuple[int, ...]], cols: list[str]) -> DataFrame:
+def _tiles(rows: DataFrame, keys: list[str], steps: list[tuple[int, ...]], cols: list[str], block: int) -> DataFrame:
     """A row per tile: the arrays a_<col> and b_<col> of two blocks whose buckets differ by one of steps, itself included.
 
     A bucket is cut to blocks by its size, by a hash of the first column, which tells rows apart. Tiles are dealt by
     their right block and counted, so that no bucket is hot and no task gets many. Buckets are few and broadcast.
     """
-    sizes = materialize(rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")
+    sizes = materialize(rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("parts")), "sizes")
     dealt = rows.join(F.broadcast(sizes), keys).withColumn("part", F.pmod(F.xxhash64(cols[0]), F.col("parts")))
     blocks = dealt.groupBy(*keys, "part").agg(F.collect_list(F.struct(*cols)).alias("rows"))
     blocks = materialize(blocks.select(*keys, "part", *[F.col(f"rows.{c}").alias(c) for c in cols]), "blocks")
@@ -98,7 +98,7 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     half = F.lit((1 << 32) - 1)
     keyed = prints.select("fp", "rep", F.bit_count(F.col("fp").bitwiseAND(half)).alias("lo"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"))
     steps = [(i, j) for i in range(radius + 1) for j in range(-radius, radius + 1) if i + abs(j) <= radius and (i, j) >= (0, 0)]
-    return _tiles(keyed, ["lo", "hi"], steps, ["fp", "rep"]).mapInArrow(_compare(radius), "u long, v long").distinct()
+    return _tiles(keyed, ["lo", "hi"], steps, ["fp", "rep"], BLOCK).mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
 def wide_print(own: np.ndarray) -> np.ndarray:
@@ -169,9 +169,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketches = materialize(docs.mapInArrow(_sketches(words), "doc long, node long, n long, f0 long, f1 long, f2 long, f3 long"), "sketches")
     distinct = materialize(sketches.groupBy("node", "n", *prints).agg(F.min("doc").alias("rep")), "distinct")
     keyed = distinct.where("n > 0").withColumn("class", F.floor(-F.log(F.col("n").cast("double")) / float(np.log(least)) + 1e-9))
-    loose = _tiles(keyed, ["class"], [(0,), (1,)], ["node", "n", *prints]).mapInArrow(_compare_wide(least), "u long, v long").distinct()
-    held = components(loose, "u", "v").join(distinct, "node").select(F.col("rep").alias("doc"), "node", "comp")
-    links = confirmed(docs, materialize(held, "held"), words, least)
+    loose = _tiles(keyed, ["class"], [(0,), (1,)], ["node", "n", *prints], 2 * BLOCK).mapInArrow(_compare_wide(least), "u long, v long").distinct()
+    held = components(loose, "u", "v").join(distinct, "node").select(F.col("rep").alias("doc"), "node", "n", "comp")
+    links = confirmed(docs, materialize(held, "candidates"), words, least)
     of = distinct.select("node", "rep").join(components(links, "u", "v"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = materialize(of.join(lowest, "comp").select("node", "component_id"), "groups")
