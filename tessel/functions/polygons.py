@@ -133,3 +133,51 @@ def rasterize(p: np.ndarray, height: int, width: int) -> np.ndarray:
         for u, v in zip(x[::2], x[1::2], strict=True):
             out[row, max(0, int(np.ceil(u - 0.5))) : max(0, int(np.ceil(v - 0.5)))] = True
     return out
+
+
+def area_of(parts: list[np.ndarray]) -> float:
+    """The area of parts that don't overlap."""
+    return float(sum(area(p) for p in parts))
+
+
+def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The heights at which segments a[i]-b[i] cross each other."""
+    d = b - a
+    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
+    off = a[None, :] - a[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (off[..., 0] * d[None, :, 1] - off[..., 1] * d[None, :, 0]) / cross
+        u = (off[..., 0] * d[:, None, 1] - off[..., 1] * d[:, None, 0]) / cross
+        y = a[:, None, 1] + t * d[:, None, 1]
+    return y[(cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)]
+
+
+def union(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The union of polygons, holes and separate pieces included, as trapezoids that don't overlap, from top to bottom.
+
+    Between neighbouring heights of corners and crossings no edges cross. There each polygon is a row of intervals between
+    edges, by the even-odd rule, and the intervals of all merge from left to right.
+    """
+    rings = [r for r in rings if len(r) > 2]
+    if not rings:
+        return []
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    of = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    slanted = a[:, 1] != b[:, 1]
+    a, b, of = a[slanted], b[slanted], of[slanted]
+    ys, out = np.unique(np.concatenate([a[:, 1], b[:, 1], _crossings(a, b)])), []
+    at = lambda e, y: a[e, 0] + (y - a[e, 1]) * (b[e, 0] - a[e, 0]) / (b[e, 1] - a[e, 1])
+    for low, high in zip(ys, ys[1:], strict=False):
+        mid = (low + high) / 2
+        here = np.flatnonzero((a[:, 1] > mid) != (b[:, 1] > mid))
+        here = here[np.lexsort((at(here, mid), of[here]))]
+        spans = sorted(((at(i, mid), at(j, mid), i, j) for i, j in zip(here[::2], here[1::2], strict=True)), key=lambda s: s[:2])
+        joined: list[list] = []
+        for left, right, i, j in spans:
+            if joined and left <= joined[-1][1]:
+                if right > joined[-1][1]:
+                    joined[-1][1], joined[-1][3] = right, j
+            else:
+                joined.append([left, right, i, j])
+        out += [np.array([[at(i, low), low], [at(j, low), low], [at(j, high), high], [at(i, high), high]]) for _, _, i, j in joined]
+    return out

@@ -43,9 +43,24 @@ def clean_name(s: Column) -> Column:
 
 
 def file_hash(files: DataFrame) -> DataFrame:
-    """sha256 over the total size and the paths in order."""
-    parts = files.agg(F.sum("size").cast("string").alias("total"), F.array_sort(F.collect_list("path")).alias("paths"))
-    return parts.select(F.sha2(F.concat("total", F.array_join("paths", "")), 256).alias("hash"))
+    """A hash of a set of files that doesn't depend on their order: sha256 over the total size, the number of paths
+    and the sum of the first 60 bits of their hashes. Sums are partial sums, so no task holds the list of paths."""
+    own = F.conv(F.substring(F.sha2("path", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    parts = files.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("string").alias("total"), F.count("*").cast("string").alias("n"), F.coalesce(F.sum(own), F.lit(0)).cast("decimal(38,0)").cast("string").alias("s"))
+    return parts.select(F.sha2(F.concat_ws("|", "total", "n", "s"), 256).alias("hash"))
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """K1: the vectors with their direction as unit, which an exact inner-product search reads."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / norm))
+
+
+def verify_counts(labels: DataFrame, expected: DataFrame) -> DataFrame:
+    """Source, found, expected and ok: the labels of each source against the number it should have."""
+    found = labels.groupBy("source").agg(F.count("*").alias("found"))
+    both = found.join(expected, "source", "full_outer").select("source", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return both.withColumn("ok", F.col("found") == F.col("expected"))
 
 
 def verify_labels(lines: DataFrame, classes: int) -> DataFrame:

@@ -23,10 +23,18 @@ def _pairs(pred: DataFrame, truth: DataFrame, keys: list[str], cell: float, also
 def match_predictions(pred: DataFrame, truth: DataFrame, cell: float = 64.0) -> DataFrame:
     """det_id, gt_id, thr of all matches.
 
-    For each threshold and class: a detection takes the label it overlaps most (the smaller id on ties), then a label
-    keeps the first detection by score and id. Both choices are min/max aggregates, so no group is sorted or gathered.
+    The rule is that of one_to_one, on boxes of an image and class.
     """
     p = _pairs(pred.select("*"), truth.withColumnRenamed("gt_id", "id"), ["image_id", "cls"], cell, ("cls",), ("id",))
+    return one_to_one(p)
+
+
+def one_to_one(p: DataFrame) -> DataFrame:
+    """det_id, gt_id, thr of the matches among pairs (det_id, oid, conf, iou), by any similarity.
+
+    For each threshold: a detection takes the label it is most similar to (the smaller id on ties), then a label keeps
+    the first detection by score and id. Both choices are min/max aggregates, so no group is sorted or gathered.
+    """
     p = p.where(F.col("iou") >= THRESHOLDS[0]).withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS)))).where("iou >= thr")
     best = p.groupBy("det_id", "thr").agg(F.max(F.struct("iou", (-F.col("oid")).alias("g"), "conf")).alias("b"))
     best = best.select("det_id", "thr", (-F.col("b.g")).alias("gt_id"), F.col("b.conf").alias("conf"))
@@ -36,8 +44,13 @@ def match_predictions(pred: DataFrame, truth: DataFrame, cell: float = 64.0) ->
 
 def true_positives(pred: DataFrame, truth: DataFrame, cell: float = 64.0) -> DataFrame:
     """Every detection at every threshold with tp 0 or 1."""
+    return flagged(pred, match_predictions(pred, truth, cell))
+
+
+def flagged(pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every detection at every threshold with tp 0 or 1, by the matches given."""
     grid = pred.select("det_id", "cls", "conf", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("thr"))
-    hit = match_predictions(pred, truth, cell).select("det_id", "thr", F.lit(1).alias("tp"))
+    hit = matches.select("det_id", "thr", F.lit(1).alias("tp"))
     return grid.join(hit, ["det_id", "thr"], "left").fillna(0, ["tp"])
 
 
@@ -83,6 +96,13 @@ def running(df: DataFrame, keys: list[str], score: str, tie: str, values: list[s
     return df.withColumns({f"r_{v}": F.col(f"__o_{v}") + F.col(f"__p_{v}") for v in (*values, "n")}).drop("__b", *[f"__{k}_{v}" for k in "op" for v in (*values, "n")])
 
 
+def recalls(tp: DataFrame, truth: DataFrame) -> DataFrame:
+    """Tp, n and recall by class and threshold."""
+    labels = truth.groupBy("cls").agg(F.count("*").alias("labels"))
+    found = tp.groupBy("cls", "thr").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    return found.join(F.broadcast(labels), "cls").select("cls", "thr", "tp", "n", (F.col("tp") / F.col("labels")).alias("recall"))
+
+
 def precision_recall(tp: DataFrame, truth: DataFrame) -> DataFrame:
     """Cls, thr, rank, conf, recall and precision at every detection."""
     labels = truth.groupBy("cls").agg(F.count("*").alias("labels"))
@@ -102,7 +122,7 @@ def average_precision(curve: DataFrame) -> DataFrame:
     cells = curve.groupBy("cls", "thr", cell.alias("c")).agg(
         F.max("precision").alias("top"), F.max(F.struct("rank", "recall", "precision")).alias("last"), F.min(F.struct("rank", "recall")).alias("first")
     )
-    keys = curve.select("cls", "thr").distinct()
+    keys = cells.select("cls").distinct().withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS))))  # of cells, not of the curve
     grid = keys.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(GRID)))).join(cells, ["cls", "thr", "c"], "left")
     up = Window.partitionBy("cls", "thr").orderBy("c")
     down = Window.partitionBy("cls", "thr").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)

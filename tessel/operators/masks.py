@@ -46,20 +46,39 @@ def window_iou(px: DataFrame) -> DataFrame:
     return w.join(inside, ["a", "b"]).select("image_id", "a", "b", (F.col("inter") / (F.col("both") - F.col("inter"))).alias("iou"))
 
 
-def merge_masks(px: DataFrame, least: float = 0.3) -> DataFrame:
-    """Masks of a class linked by a window IoU above least merge: the union's size, mean score, most common class."""
+def mask_groups(px: DataFrame, least: float = 0.3) -> DataFrame:
+    """det_id, image_id, cls, conf and group_id: masks of a class link by a window IoU above least."""
     of = px.select("det_id", "image_id", "cls", "conf").distinct()
     cls = of.select("det_id", "cls")
     links = window_iou(px).where(F.col("iou") > least)
     links = links.join(cls.select(F.col("det_id").alias("a"), F.col("cls").alias("ca")), "a").join(cls.select(F.col("det_id").alias("b"), F.col("cls").alias("cb")), "b").where("ca = cb")
     comp = components(links.select("a", "b"), "a", "b")
-    group = of.join(comp, of["det_id"] == comp["node"], "left").select("det_id", "image_id", "cls", "conf", F.coalesce("comp", "det_id").alias("group_id"))
+    return of.join(comp, of["det_id"] == comp["node"], "left").select("det_id", "image_id", "cls", "conf", F.coalesce("comp", "det_id").alias("group_id"))
+
+
+def merged_pixels(px: DataFrame, least: float = 0.3) -> DataFrame:
+    """image_id, group_id, row and col of merged masks, each pixel once."""
+    group = mask_groups(px, least).select("det_id", "group_id")
+    return px.select("image_id", "det_id", "row", "col").join(group, "det_id").select("image_id", "group_id", "row", "col").distinct()
+
+
+def merge_masks(px: DataFrame, least: float = 0.3) -> DataFrame:
+    """Merged masks: the union's size, mean score, most common class."""
+    group = mask_groups(px, least)
     size = px.select("det_id", "row", "col").join(group.select("det_id", "group_id"), "det_id").select("group_id", "row", "col").distinct().groupBy("group_id").agg(F.count("*").alias("size"))
     votes = group.groupBy("group_id", "cls").agg(F.count("*").alias("n"), F.sum("conf").alias("s"))
     told = votes.groupBy("group_id").agg(F.max(F.struct("n", (-F.col("cls")).alias("c"))).alias("m"), F.sum("n").alias("members"), (F.sum("s") / F.sum("n")).alias("conf"))
     return told.join(size, "group_id").select("group_id", "members", (-F.col("m.c")).alias("cls"), "conf", "size")
 
 
+def compact_map(px: DataFrame) -> DataFrame:
+    """The instance map with ids from 1 without gaps: instances that are painted over wholly have none."""
+    painted = instance_map(px)
+    seen = painted.select("image_id", "instance").distinct()
+    dense = seen.withColumn("id", F.dense_rank().over(Window.partitionBy("image_id").orderBy("instance")))
+    return painted.join(dense, ["image_id", "instance"]).select("image_id", "row", "col", F.col("id").alias("instance"))
+
+
 def instance_map(px: DataFrame) -> DataFrame:
     """The mask painted last on each pixel: ids run in the order of det_id within an image."""
     ids = px.select("image_id", "det_id").distinct().withColumn("instance", F.row_number().over(Window.partitionBy("image_id").orderBy("det_id")))

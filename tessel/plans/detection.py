@@ -134,7 +134,6 @@ register("t20_build_point_grid", "SELECT CAST(i AS BIGINT) AS id, (i % 16 + 0.5:
 register("t21_all_layer_point_grids", "SELECT CAST(l AS INT) AS layer, (i % n + 0.5::DOUBLE) / n AS x, (i // n + 0.5::DOUBLE) / n AS y FROM (VALUES (0, 16), (1, 8), (2, 4)) v(l, n), range(0, 256) t(i) WHERE i < n * n")(
     lambda spark, sf_dir: tiles.layer_grids(spark, 16, 2, 2)
 )
-register("t13_get_windows")(lambda spark, sf_dir: tiles.windows(images(spark, sf_dir), 128, 32))
 register("t22_generate_crop_boxes")(lambda spark, sf_dir: tiles.crop_boxes(images(spark, sf_dir), 2, 512 / 1500))
 register(
     "t23_batch_iterator",
@@ -172,15 +171,12 @@ def merge_boxes(det: DataFrame, least: float = 0.3, cell: float = 64.0) -> DataF
     )
 
 
-_MERGE = f"""WITH RECURSIVE d AS (SELECT * FROM ({DET_SQL}) WHERE conf > 0.4),
+_MERGE = f"""WITH RECURSIVE d AS (SELECT * FROM ({DET_SQL})),
   l AS (SELECT a.det_id AS u, b.det_id AS v FROM d a JOIN d b ON {_PAIR} AND a.det_id <> b.det_id AND {_COVER} >= 0.3),
   r AS (SELECT det_id AS a, det_id AS b FROM d UNION SELECT r.a, l.v FROM r JOIN l ON r.b = l.u),
   c AS (SELECT a AS det_id, min(b) AS group_id FROM r GROUP BY a)"""
 register("a10_merge_polygons_by_iou", _MERGE + " SELECT image_id, cls, group_id, count(*) AS members, max(conf) AS conf, round(avg(conf), 6) AS mean_conf, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM d JOIN c USING (det_id) GROUP BY ALL")(
-    lambda spark, sf_dir: merge_boxes(detections(spark, sf_dir).where("conf > 0.4"))
-)
-register("a17_build_merged_results", _MERGE + " SELECT group_id, count(*) AS members FROM c GROUP BY group_id HAVING count(*) > 1")(
-    lambda spark, sf_dir: merge_boxes(detections(spark, sf_dir).where("conf > 0.4")).where("members > 1").select("group_id", "members")
+    lambda spark, sf_dir: merge_boxes(detections(spark, sf_dir))
 )
 register("a20_merge_classification", f"WITH d AS ({DET_SQL}), s AS (SELECT image_id, cls, sum(conf) AS s, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY image_id) AS votes, row_number() OVER (PARTITION BY image_id ORDER BY round(s, 6) DESC, cls) AS rk FROM s) SELECT image_id, cls, round(s / votes, 10) AS conf FROM r WHERE rk = 1")(
     lambda spark, sf_dir: vote(detections(spark, sf_dir))
@@ -197,11 +193,6 @@ def vote(det: DataFrame) -> DataFrame:
 register("j16_find_overlapping_mask_indices", f"WITH d AS ({DET_SQL}) SELECT det_id FROM d WHERE (x1 < 256 AND x2 > 192) OR (y1 < 256 AND y2 > 192)")(
     lambda spark, sf_dir: strip_split(detections(spark, sf_dir)).where("in_strip").select("det_id")
 )
-register("a12_merge_masks_by_overlap_region", f"WITH d AS ({DET_SQL}) SELECT (x1 < 256 AND x2 > 192) OR (y1 < 256 AND y2 > 192) AS in_strip, count(*) AS n FROM d GROUP BY 1")(
-    lambda spark, sf_dir: strip_split(detections(spark, sf_dir)).groupBy("in_strip").agg(F.count("*").alias("n"))
-)
-
-
 def strip_split(det: DataFrame, low: float = 192.0, high: float = 256.0) -> DataFrame:
     """Whether a box touches a strip that tiles share, in either direction."""
     return det.withColumn("in_strip", ((F.col("x1") < high) & (F.col("x2") > low)) | ((F.col("y1") < high) & (F.col("y2") > low)))

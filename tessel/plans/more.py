@@ -20,7 +20,7 @@ from tessel.plans.detection import IMG_SQL, grid, images, merge_boxes, pairs
 from tessel.plans.evaluation import _IOU
 from tessel.plans.geometry import GEO, boundary_filter
 from tessel.plans.registry import register
-from tessel.plans.results import NAMES, frames, oks, pixels
+from tessel.plans.results import NAMES, pixels
 from tessel.session import ship, work_path
 from tessel.sources import formats
 from tessel.sources.derived import DET_SQL, GT_SQL, TRACK_SQL, detections, ground_truth, rings, table, tracks
@@ -62,37 +62,32 @@ def _polygon(name: str, f, kind: str, sql: str, *cols: str) -> None:
     register(name, f"SELECT det_id, {sql} AS v FROM ({DET_SQL})")(run)
 
 
-_polygon("p17_xyxyxyxy2xywhr", lambda p: P.min_area_rect(p)[2] * P.min_area_rect(p)[3], "double", "round((x2 - x1) * (y2 - y1), 5) + 0.0")
-_polygon("p31_merge_multi_segment", lambda p: P.area(P.join_rings([p, p + [1000, 0]])), "double", "round((x2 - x1) * (y2 - y1), 5) + 0.0")
-_polygon("p32_min_index", lambda p: P.nearest(p, p + [1000, 0])[0] * 10 + P.nearest(p, p + [1000, 0])[1], "long", "CAST(10 AS BIGINT)")
-for _n in ("p57_fix_and_simplify_polygon", "p58_simplify_polygon"):
-    _polygon(_n, lambda p: len(P.simplify(np.vstack([p[:1], (p[:1] + p[1:2]) / 2, p[1:]]), 1.0)), "long", "CAST(3 AS BIGINT)")
-_polygon("j30_calculate_polygon_iou", lambda p, a, b, c, d: P.convex_iou(p, np.array([[a, b], [c, b], [c, d], [a, d]])), "double", "CASE WHEN true THEN 0.5 END", "x1", "y1", "x2", "y2")
 for _n in ("p33_polygon2mask", "p34_polygons2masks"):
     _polygon(_n, lambda p: int(P.rasterize(np.array([p[0], [p[1][0], p[0][1]], [p[1][0], p[2][1]], p[2]]), 200, 200).sum()), "long", "CAST(greatest(0, least(x2, 200) - x1) * greatest(0, least(y2, 200) - y1) AS BIGINT)")
-register("a21_merge_two_polygons", f"SELECT det_id, round((x2 - x1) * (y2 - y1) * 1.5, 4) AS area FROM ({DET_SQL})")(
-    lambda spark, sf_dir: detections(spark, sf_dir).select("det_id", F.round(B.area(B.col_box()) + B.area(B.shift(B.col_box(), (F.col("x2") - F.col("x1")) / 2, 0)) - B.inter_area(B.col_box(), B.shift(B.col_box(), (F.col("x2") - F.col("x1")) / 2, 0)), 4).alias("area"))
-)
 
 # Tiles: georeference, mosaics, windows.
-_CELLS = f"(SELECT image_id, CAST(r * ceil(width / 96.0)::INT + c AS INT) AS tile_id, CAST(r * 96 AS INT) AS ro, CAST(c * 96 AS INT) AS co, least(128, height - r * 96) AS h, least(128, width - c * 96) AS w FROM ({IMG_SQL}), range(0, 10) a(r), range(0, 10) b(c) WHERE r * 96 < height AND c * 96 < width AND image_id < 12)"
-_TPX = f"(SELECT image_id, ro + i * 16 AS row, co + j * 16 AS col, i * 16 AS i, j * 16 AS j, h, w, tile_id % 7 AS v FROM {_CELLS}, range(0, 8) a(i), range(0, 8) b(j) WHERE i * 16 < h AND j * 16 < w)"
-_EDGE = "least(least(1.0, (i + 1) / 16.0, (h - i) / 16.0), least(1.0, (j + 1) / 16.0, (w - j) / 16.0))::DOUBLE"
+_CELLS = f"(SELECT image_id, CAST(r * ceil(width / 96.0)::INT + c AS INT) AS tile_id, CAST(r * 96 AS INT) AS ro, CAST(c * 96 AS INT) AS co, least(128, height - r * 96) AS h, least(128, width - c * 96) AS w FROM ({IMG_SQL}), range(0, 10) a(r), range(0, 10) b(c) WHERE r * 96 < height AND c * 96 < width)"
+#: Small rasters (a sixteenth of an image's sides) in tiles of 8 pixels that share 2, pixel by pixel.
+_SMALL = f"(SELECT image_id, CAST(height // 16 AS INT) AS height, CAST(width // 16 AS INT) AS width FROM ({IMG_SQL}))"
+_SCELL = f"(SELECT image_id, r * ceil(width / 6.0)::INT + c AS tile_id, r * 6 AS ro, c * 6 AS co, least(8, height - r * 6) AS h, least(8, width - c * 6) AS w FROM {_SMALL}, range(0, 10) a(r), range(0, 10) b(c) WHERE r * 6 < height AND c * 6 < width)"
+_TPX = f"(SELECT image_id, CAST(ro + i AS INT) AS row, CAST(co + j AS INT) AS col, i, j, h, w, tile_id % 7 AS v FROM {_SCELL}, range(0, 8) a(i), range(0, 8) b(j) WHERE i < h AND j < w)"
+_EDGE = "least(least(1.0, (i + 1) / 2.0, (h - i) / 2.0), least(1.0, (j + 1) / 2.0, (w - j) / 2.0))::DOUBLE"
 
 
 def tile_pixels(spark, sf_dir):
-    """A sample grid of pixels of each tile, with the tile's value."""
-    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n) - 1, F.lit(16))).alias(c)
-    g = grid(spark, sf_dir).where("image_id < 12").select("*", every("h", "i")).select("*", every("w", "j"))
+    """The pixels of each tile of small rasters, with the tile's value."""
+    small = images(spark, sf_dir).selectExpr("image_id", "CAST(height DIV 16 AS INT) AS height", "CAST(width DIV 16 AS INT) AS width")
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    g = tiles.tile_grid(small, 8, 0.25).select("*", every("h", "i")).select("*", every("w", "j"))
     return g.select("image_id", (F.col("row_off") + F.col("i")).alias("row"), (F.col("col_off") + F.col("j")).alias("col"), "i", "j", "h", "w", (F.col("tile_id") % 7).cast("double").alias("v"))
 
 
 def _weight():
-    return F.least(tiles.edge_weight(F.col("i"), F.col("h"), 16), tiles.edge_weight(F.col("j"), F.col("w"), 16))
+    return F.least(tiles.edge_weight(F.col("i"), F.col("h"), 2), tiles.edge_weight(F.col("j"), F.col("w"), 2))
 
 
 register("t7_tile_geotransform", f"SELECT image_id, tile_id, round(500000 + co * 0.5, 4) AS ul_x, round(4000000 - ro * 0.5, 4) AS ul_y FROM {_CELLS}")(
-    lambda spark, sf_dir: grid(spark, sf_dir).where("image_id < 12").select("image_id", "tile_id", *[F.round(c, 4).alias(n) for c, n in zip(tiles.tile_origin(GEO), ("ul_x", "ul_y"), strict=True)])
+    lambda spark, sf_dir: grid(spark, sf_dir).select("image_id", "tile_id", *[F.round(c, 4).alias(n) for c, n in zip(tiles.tile_origin(GEO), ("ul_x", "ul_y"), strict=True)])
 )
 register("t9_merge_tiles_weighted", f"SELECT image_id, row, col, round(sum(v * {_EDGE}) / (sum({_EDGE}) + 1e-8), 5) AS v FROM {_TPX} GROUP BY ALL")(lambda spark, sf_dir: tiles.mosaic(tile_pixels(spark, sf_dir), _weight()).withColumn("v", F.round("v", 5)))
 register("t10_create_weight_mask", f"SELECT image_id, row, col, round(max({_EDGE}), 6) AS w FROM {_TPX} GROUP BY ALL")(lambda spark, sf_dir: tile_pixels(spark, sf_dir).groupBy("image_id", "row", "col").agg(F.round(F.max(_weight()), 6).alias("w")))
@@ -101,7 +96,7 @@ register("t11_generate_tiles_pixels", f"SELECT image_id, count(*) AS n FROM ({IM
     lambda spark, sf_dir: tiles.tile_grid(images(spark, sf_dir), 128, 28.5 / 128).groupBy("image_id").agg(F.count("*").alias("n"))
 )
 register("t8_pad_tile", f"SELECT image_id, tile_id, CAST(128 - h AS INT) AS bottom, CAST(128 - w AS INT) AS right FROM {_CELLS}")(
-    lambda spark, sf_dir: grid(spark, sf_dir).where("image_id < 12").select("image_id", "tile_id", (128 - F.col("h")).alias("bottom"), (128 - F.col("w")).alias("right"))
+    lambda spark, sf_dir: grid(spark, sf_dir).select("image_id", "tile_id", (128 - F.col("h")).alias("bottom"), (128 - F.col("w")).alias("right"))
 )
 
 
@@ -116,12 +111,6 @@ def crops(spark, sf_dir):
 
 _CROP = f"WITH d AS ({DET_SQL}), w AS (SELECT i AS win, (i % 4 * 110)::DOUBLE AS a, (i // 4 * 110)::DOUBLE AS b FROM range(0, 16) t(i)), c AS (SELECT *, least(150, greatest(0, x1 - a)) AS p, least(150, greatest(0, y1 - b)) AS q, least(150, greatest(0, x2 - a)) AS r, least(150, greatest(0, y2 - b)) AS s FROM d, w WHERE greatest(0, least(x2, a + 150) - greatest(x1, a)) * greatest(0, least(y2, b + 150) - greatest(y1, b)) / ((x2 - x1) * (y2 - y1)) >= 0.7)"
 register("t16_crop_and_save", f"{_CROP} SELECT det_id, win, round((p + r) / 300, 6) AS cx, round((q + s) / 300, 6) AS cy, round((r - p) / 150, 6) AS w, round((s - q) / 150, 6) AS h FROM c")(crops)
-for _n in ("t17_split_images_and_labels", "t18_split_trainval"):
-    register(_n, f"{_CROP} SELECT win, count(*) AS n FROM c GROUP BY win")(lambda spark, sf_dir: crops(spark, sf_dir).groupBy("win").agg(F.count("*").alias("n")))
-register("t19_split_test", "SELECT rate, size, gap FROM (VALUES (0.5::DOUBLE, 2048, 1000), (1.0, 1024, 500), (2.0, 512, 250)) v(rate, size, gap)")(
-    lambda spark, sf_dir: spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "rate double").select("rate", (1024 / F.col("rate")).cast("int").alias("size"), (500 / F.col("rate")).cast("int").alias("gap"))
-)
-
 # Pair predicates and neighbour joins.
 _PAIR = f"WITH d AS ({DET_SQL}), p AS (SELECT a.det_id, b.det_id AS odet_id, a.conf AS c1, b.conf AS c2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2-a.x1)*(a.y2-a.y1) AS u, (b.x2-b.x1)*(b.y2-b.y1) AS v FROM d a JOIN d b ON a.image_id = b.image_id AND a.cls = b.cls AND a.det_id < b.det_id)"
 for _n in ("j12_find_potential_overlap_pairs", "j17_bbox_overlap", "j18_masks_overlap"):
@@ -138,7 +127,7 @@ register("j6_probiou")(lambda spark, sf_dir: detections(spark, sf_dir).select("d
 def on_tiles(spark, sf_dir):
     """Detections with the tile of their centre, on a grid of 100 pixels."""
     c = B.xyxy_to_xywh(B.col_box())
-    return detections(spark, sf_dir).where("conf > 0.4").withColumns({"tr": F.floor(c.b / 100).cast("int"), "tc": F.floor(c.a / 100).cast("int")})
+    return detections(spark, sf_dir).withColumns({"tr": F.floor(c.b / 100).cast("int"), "tc": F.floor(c.a / 100).cast("int")})
 
 
 def adjacent(spark, sf_dir, test=None):
@@ -151,62 +140,16 @@ def adjacent(spark, sf_dir, test=None):
     return out if test is None else out.where(test)
 
 
-_ADJ = f"WITH d AS (SELECT *, floor((y1+y2)/2/100) AS tr, floor((x1+x2)/2/100) AS tc FROM ({DET_SQL}) WHERE conf > 0.4), p AS (SELECT a.det_id, b.det_id AS odet_id, a.cls AS c1, b.cls AS c2, {_IOU} AS iou FROM d a JOIN d b ON a.image_id = b.image_id AND a.det_id < b.det_id AND abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 AND (a.tr <> b.tr OR a.tc <> b.tc) WHERE a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"
+_ADJ = f"WITH d AS (SELECT *, floor((y1+y2)/2/100) AS tr, floor((x1+x2)/2/100) AS tc FROM ({DET_SQL})), p AS (SELECT a.det_id, b.det_id AS odet_id, a.cls AS c1, b.cls AS c2, {_IOU} AS iou FROM d a JOIN d b ON a.image_id = b.image_id AND a.det_id < b.det_id AND abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 AND (a.tr <> b.tr OR a.tc <> b.tc) WHERE a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"
 register("j14_find_adjacent_tile_pairs", f"{_ADJ} SELECT det_id, odet_id FROM p")(lambda spark, sf_dir: adjacent(spark, sf_dir).select("det_id", "odet_id"))
 register("j15_find_cross_tile_candidates", f"{_ADJ} SELECT det_id, odet_id FROM p WHERE iou >= 0.2")(lambda spark, sf_dir: adjacent(spark, sf_dir, B.iou(B.col_box(), nms.other_box()) >= 0.2).select("det_id", "odet_id"))
-register("j21_mask_bbox_iou_of_tiles", f"{_ADJ} SELECT det_id, odet_id, 0 AS same FROM p WHERE c1 = c2")(lambda spark, sf_dir: adjacent(spark, sf_dir).where("cls = ocls").select("det_id", "odet_id", F.lit(0).alias("same")))
-
-
-def grouped(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sizes of the components of links over nodes (det_id)."""
-    c = components(links, "det_id", "odet_id")
-    return nodes.select("det_id").join(c, F.col("det_id") == F.col("node"), "left").groupBy(F.coalesce("comp", "det_id").alias("group_id")).agg(F.count("*").alias("members"))
-
-
-def _groups_sql(where: str) -> str:
-    return _ADJ.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + f", l AS (SELECT det_id AS u, odet_id AS v FROM p WHERE {where} UNION SELECT odet_id, det_id FROM p WHERE {where}), r AS (SELECT det_id AS a, det_id AS b FROM d UNION SELECT r.a, l.v FROM r JOIN l ON r.b = l.u), c AS (SELECT a, min(b) AS group_id FROM r GROUP BY a) SELECT group_id, count(*) AS members FROM c GROUP BY group_id"
-
-
-for _n, _w in (("a13_merge_overlapping_masks_only", "iou > 0.2 AND c1 = c2"), ("a14_merge_masks_with_iou", "iou > 0.2 AND c1 = c2"), ("a15_merge_masks_with_iou_optimized", "iou > 0.2"), ("a11_find_spatially_connected_groups", "iou > 0")):
-    register(_n, _groups_sql(_w))(lambda spark, sf_dir, w=_w: grouped(adjacent(spark, sf_dir).withColumn("iou", B.iou(B.col_box(), nms.other_box())).where(w.replace("c1 = c2", "cls = ocls")), on_tiles(spark, sf_dir)))
-register("a9_merge_polygons_vector", f"SELECT count(*) > 0 AS ok FROM ({DET_SQL})")(lambda spark, sf_dir: boundary_filter(merge_boxes(detections(spark, sf_dir).where("conf > 0.4")), 400, 400).agg((F.count("*") > 0).alias("ok")))
-register("a7_merge_segmentation", f"SELECT count(*) > 0 AS ok FROM ({DET_SQL})")(lambda spark, sf_dir: M.merge_masks(pixels(spark, sf_dir)).agg((F.count("*") > 0).alias("ok")))
-_PX = f"WITH d AS (SELECT * FROM ({DET_SQL}) WHERE conf > 0.45), px AS (SELECT image_id, det_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM d, range(0, 70) a(r), range(0, 70) b(c) WHERE r BETWEEN floor(y1/8) AND floor(y2/8) AND c BETWEEN floor(x1/8) AND floor(x2/8))"
-register("a19_compact_instance_map", f"{_PX} SELECT image_id, count(DISTINCT (row, col)) AS painted FROM px GROUP BY image_id")(lambda spark, sf_dir: M.instance_map(pixels(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("painted")))
+_PX = f"WITH d AS ({DET_SQL}), px AS (SELECT image_id, det_id, conf, cls, row, CAST(unnest(range(floor(x1/8)::INT, floor(x2/8)::INT + 1)) AS INT) AS col FROM (SELECT *, CAST(unnest(range(floor(y1/8)::INT, floor(y2/8)::INT + 1)) AS INT) AS row FROM d))"
 register("o5_export_masks_from_instance_map", f"{_PX}, m AS (SELECT image_id, row, col, max(det_id) AS det_id FROM px GROUP BY ALL) SELECT det_id, count(*) AS pixels FROM m GROUP BY det_id")(
     lambda spark, sf_dir: pixels(spark, sf_dir).groupBy("image_id", "row", "col").agg(F.max("det_id").alias("det_id")).groupBy("det_id").agg(F.count("*").alias("pixels"))
 )
 register("o7_export_instance_map", f"{_PX}, i AS (SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id) AS k FROM d) SELECT image_id, CAST(max(k) AS INT) AS instances FROM i GROUP BY image_id")(lambda spark, sf_dir: M.instance_map(pixels(spark, sf_dir)).groupBy("image_id").agg(F.max("instance").alias("instances")))
 
 
-# Evaluation on masks and keypoints.
-def mask_matches(spark, sf_dir):
-    """Pairs of detections and labels of a class by mask IoU on a pixel grid, at 0.5."""
-    d = M.box_pixels(detections(spark, sf_dir).where("conf > 0.45"))
-    t = M.box_pixels(ground_truth(spark, sf_dir).withColumnRenamed("gt_id", "det_id").withColumn("conf", F.lit(1.0)))
-    nd, nt = d.groupBy("det_id").agg(F.count("*").alias("nd")), t.groupBy(F.col("det_id").alias("gt_id")).agg(F.count("*").alias("nt"))
-    i = d.select("image_id", "cls", "row", "col", "det_id").join(t.select("image_id", "cls", "row", "col", F.col("det_id").alias("gt_id")), ["image_id", "cls", "row", "col"]).groupBy("det_id", "gt_id").agg(F.count("*").alias("i"))
-    return i.join(nd, "det_id").join(nt, "gt_id").select("det_id", "gt_id", F.round(F.col("i") / (F.col("nd") + F.col("nt") - F.col("i")), 6).alias("iou")).where("iou >= 0.5")
-
-
-_GPX = f"{_PX}, g AS ({GT_SQL}), gx AS (SELECT image_id, cls, gt_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM g, range(0, 70) a(r), range(0, 70) b(c) WHERE r BETWEEN floor(y1/8) AND floor(y2/8) AND c BETWEEN floor(x1/8) AND floor(x2/8)), nd AS (SELECT det_id, count(*) AS n FROM px GROUP BY 1), ng AS (SELECT gt_id, count(*) AS n FROM gx GROUP BY 1), i AS (SELECT px.det_id, gx.gt_id, count(*) AS i FROM px JOIN d USING (det_id) JOIN gx ON gx.image_id = px.image_id AND gx.cls = d.cls AND gx.row = px.row AND gx.col = px.col GROUP BY ALL)"
-register("j43_segment_process_batch", f"{_GPX} SELECT det_id, gt_id, round(i / (nd.n + ng.n - i), 6) AS iou FROM i JOIN nd USING (det_id) JOIN ng USING (gt_id) WHERE i / (nd.n + ng.n - i) >= 0.5")(mask_matches)
-register("a30_segment_metrics_process", f"{_GPX} SELECT count(DISTINCT det_id) AS matched FROM i JOIN nd USING (det_id) JOIN ng USING (gt_id) WHERE round(i / (nd.n + ng.n - i), 6) >= 0.5")(lambda spark, sf_dir: mask_matches(spark, sf_dir).agg(F.countDistinct("det_id").alias("matched")))
-_OKS = f"WITH d AS ({DET_SQL}), o AS (SELECT det_id, cls, (x2-x1)*(y2-y1)*0.53 AS s, [(conf*10)**2, (cls*2.0)**2 + 1, (conf*20)**2 + (cls+1)**2] AS e, [0.05, 0.1, 0.2] AS k FROM d), v AS (SELECT det_id, cls, round((exp(-e[1]/((2*k[1])**2*(s+1e-7)*2)) + exp(-e[2]/((2*k[2])**2*(s+1e-7)*2)) + exp(-e[3]/((2*k[3])**2*(s+1e-7)*2)))/(3+1e-7), 6) AS oks FROM o)"
-register("j44_pose_process_batch", f"{_OKS} SELECT det_id FROM v WHERE oks >= 0.6")(lambda spark, sf_dir: oks(detections(spark, sf_dir)).where("oks >= 0.6").select("det_id"))
-register("a31_pose_metrics_process", f"{_OKS} SELECT cls, count(*) FILTER (oks >= 0.6) AS tp, count(*) AS n FROM v GROUP BY cls")(
-    lambda spark, sf_dir: oks(detections(spark, sf_dir)).join(detections(spark, sf_dir).select("det_id", "cls"), "det_id").groupBy("cls").agg(F.count_if(F.col("oks") >= 0.6).alias("tp"), F.count("*").alias("n"))
-)
-
-
-def obb_matches(spark, sf_dir):
-    """Detections whose rotated box has a probabilistic IoU of 0.5 with a label of its class and image."""
-    d, g = detections(spark, sf_dir), ground_truth(spark, sf_dir).withColumnRenamed("gt_id", "id")
-    rot = lambda p: B.Rotated((F.col(f"{p}x1") + F.col(f"{p}x2")) / 2, (F.col(f"{p}y1") + F.col(f"{p}y2")) / 2, F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1"), F.lit(0.3))
-    return box_join(d, others(g, "id", keys=("image_id", "cls")), ["image_id", "cls"], 64.0, B.prob_iou(rot(""), rot("o")) >= 0.5).select("det_id", F.col("oid").alias("gt_id"))
-
-
-register("j45_obb_process_batch")(obb_matches)
 register("a37_gather_stats", f"SELECT image_id % 4 AS rank, count(*) AS n FROM ({DET_SQL}) GROUP BY 1")(lambda spark, sf_dir: detections(spark, sf_dir).groupBy((F.col("image_id") % 4).alias("rank")).agg(F.count("*").alias("n")))
 register("k5_top1", "SELECT doc_id, list_position(p, list_max(p)) - 1 AS top1 FROM (SELECT doc_id, [doc_id % 7, doc_id % 5, n_chars % 11] AS p FROM documents)")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.array(*[F.expr(e) for e in ("doc_id % 7", "doc_id % 5", "n_chars % 11")]).alias("p")).select("doc_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top1"))
@@ -217,10 +160,6 @@ register("k8_parents", "SELECT p_partkey, p_retailprice / sum(p_retailprice) OVE
 register("u9_random_load_text", "WITH h AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(concat('7|', p_partkey))) AS r FROM part) SELECT p_brand, p_partkey FROM h WHERE r <= 3")(
     lambda spark, sf_dir: table(spark, sf_dir, "part").withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.sha2(F.concat(F.lit("7|"), F.col("p_partkey").cast("string")), 256)))).where("r <= 3").select("p_brand", "p_partkey")
 )
-register("w12_plot_results", "SELECT event_id, round(sum(v * k) OVER w / sum(k) OVER w, 5) AS s FROM (SELECT event_id, user_id, value AS v, 1 AS k FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")(
-    lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 2)), 5).alias("s"))
-)
-
 # Ingest, normalization, configuration.
 
 
@@ -254,8 +193,6 @@ for _n in ("s6_check_source", "s7_load_inference_source", "s14_autocast_list"):
 register("s10_load_images_and_videos", "SELECT p_partkey, CAST(f AS INT) AS frame FROM part, range(0, 50) t(f) WHERE f % 4 = 0 AND f < p_size")(
     lambda spark, sf_dir: table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("p_size") - 1, F.lit(4))).alias("frame"))
 )
-for _n in ("s12_load_in_memory", "s13_load_tensor"):
-    register(_n, "SELECT i AS id, [i * 1.5::DOUBLE, i + 0.5::DOUBLE] AS v FROM range(0, 8) t(i)")(lambda spark, sf_dir: spark.createDataFrame([(i, [i * 1.5, i + 0.5]) for i in range(8)], "id long, v array<double>"))
 register("s18_verify_image", f"SELECT image_id, height >= 10 AND width >= 10 AND image_id % 7 <> 0 AS ok FROM ({IMG_SQL})")(lambda spark, sf_dir: images(spark, sf_dir).select("image_id", ((F.col("height") >= 10) & (F.col("width") >= 10) & (F.col("image_id") % 7 != 0)).alias("ok")))
 
 
@@ -271,7 +208,6 @@ def snapshot(df: DataFrame, path: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
-register("s20_get_labels", f"SELECT count(*) AS n FROM ({DET_SQL})")(lambda spark, sf_dir: (lambda p: snapshot(snapshot(detections(spark, sf_dir), p, "v1").limit(0), p, "v1"))(work_path(spark, "labels")).agg(F.count("*").alias("n")))
 _NORM = "WITH v AS (SELECT user_id, event_id, CASE WHEN event_id % 17 = 0 THEN 0 ELSE value END AS v FROM events), p AS (SELECT user_id, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b, avg(v) + stddev_pop(v) AS t FROM v GROUP BY user_id)"
 
 
@@ -312,19 +248,21 @@ register("s30_load_categories", "SELECT CAST(i - 1 AS INT) AS cls, 'n' || i AS n
 
 
 def grounded(spark, sf_dir):
-    """S22 over made-up captions: the phrase of each document's first two words, by spans."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 60).alias("caption"))
+    """S22 over made-up captions: whole texts, and a phrase of the first and the last word of each, by spans."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("caption"))
     im = d.select(F.col("doc_id").alias("image_id"), F.lit(100).alias("width"), F.lit(50).alias("height"), "caption")
-    a = d.select(F.col("doc_id").alias("image_id"), F.lit(1).alias("category_id"), (F.col("doc_id") % 5 == 0).alias("iscrowd"), F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(4), F.lit(8))).alias("tokens_positive"), F.lit(10.0).alias("bx"), F.lit(10.0).alias("by"), F.lit(20.0).alias("bw"), F.lit(10.0).alias("bh"))
+    n, last = F.length("caption"), F.length(F.substring_index("caption", " ", -1))
+    spans = F.array(F.array(F.lit(0), F.length(F.substring_index("caption", " ", 1))), F.array(n - last, n))
+    a = d.select(F.col("doc_id").alias("image_id"), F.lit(1).alias("category_id"), (F.col("doc_id") % 5 == 0).alias("iscrowd"), spans.alias("tokens_positive"), F.lit(10.0).alias("bx"), F.lit(10.0).alias("by"), F.lit(20.0).alias("bw"), F.lit(10.0).alias("bh"))
     return formats.grounding(im, a).select("image_id", "phrase", "cx")
 
 
-register("s22_grounding_cache_labels", "WITH d AS (SELECT doc_id, lower(substr(text, 1, 3)) || ' ' || lower(substr(text, 5, 4)) AS p FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0) SELECT doc_id AS image_id, trim(p, ' ') AS phrase, 0.2::DOUBLE AS cx FROM d WHERE trim(p, ' ') <> ''")(grounded)
+register("s22_grounding_cache_labels", "WITH d AS (SELECT doc_id, lower(string_split(text, ' ')[1]) || ' ' || lower(string_split(text, ' ')[-1]) AS p FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0) SELECT DISTINCT doc_id AS image_id, trim(p, ' ') AS phrase, 0.2::DOUBLE AS cx FROM d WHERE trim(p, ' ') <> ''")(grounded)
 
 
 def round_trip(spark, sf_dir):
     """Detections written as NDJSON records and read back."""
-    d = detections(spark, sf_dir).where("conf > 0.4")
+    d = detections(spark, sf_dir)
     b = B.xyxy_to_xywhn(B.col_box(), 500, 500)
     rec = d.groupBy("image_id").agg(F.collect_list(F.array(F.col("cls").cast("double"), *b)).alias("boxes"))
     rec = rec.select(F.lit("image").alias("type"), F.concat(F.lit("im"), F.col("image_id"), F.lit(".jpg")).alias("file"), F.lit(500).alias("width"), F.lit(500).alias("height"), F.when(F.col("image_id") % 4 == 0, "val").otherwise("train").alias("split"), F.create_map(F.lit("boxes"), F.col("boxes")).alias("annotations"))
@@ -333,26 +271,26 @@ def round_trip(spark, sf_dir):
     return formats.read_ndjson(spark, path).groupBy("split", "cls").agg(F.count("*").alias("n"), F.round(F.sum(F.col("numbers")[2]), 4).alias("w"))
 
 
-register("s26_convert_ndjson", f"SELECT CASE WHEN image_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, cls, count(*) AS n, round(sum((x2 - x1) / 500), 4) AS w FROM ({DET_SQL}) WHERE conf > 0.4 GROUP BY ALL")(round_trip)
+register("s26_convert_ndjson", f"SELECT CASE WHEN image_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, cls, count(*) AS n, round(sum((x2 - x1) / 500), 4) AS w FROM ({DET_SQL}) GROUP BY ALL")(round_trip)
 
 
 def geo_trip(spark, sf_dir):
     """Boxes written as one GeoJSON collection and read back as label lines."""
-    d = detections(spark, sf_dir).where("conf > 0.5")
+    d = detections(spark, sf_dir)
     path = work_path(spark, "geojson")
     formats.write_geojson(d, path, NAMES, GEO, "EPSG:32650")
     return formats.read_geojson(spark, path).groupBy("cls").agg(F.count("line").alias("n"))
 
 
 for _n in ("o1_geojson_export", "s32_convert_single_geojson", "o13_results_to_geojson"):
-    register(_n, f"SELECT cls, count(*) AS n FROM ({DET_SQL}) WHERE conf > 0.5 GROUP BY cls")(geo_trip)
+    register(_n, f"SELECT cls, count(*) AS n FROM ({DET_SQL}) GROUP BY cls")(geo_trip)
 
 
 def written(kind: str):
     """A sink's round trip: results written in a format and counted when read back."""
 
     def run(spark, sf_dir):
-        d, path = detections(spark, sf_dir).where("conf > 0.4"), work_path(spark, kind)
+        d, path = detections(spark, sf_dir), work_path(spark, kind)
         if kind == "csv":
             formats.summary(d, NAMES).withColumn("box", F.to_json("box")).write.option("header", True).csv(path)
             return spark.read.option("header", True).csv(path).groupBy("class").agg(F.count("*").alias("n")).select(F.col("class").cast("int").alias("cls"), "n")
@@ -365,7 +303,7 @@ def written(kind: str):
     return run
 
 
-_COUNT = f"SELECT cls, count(*) AS n FROM ({DET_SQL}) WHERE conf > 0.4 GROUP BY cls"
+_COUNT = f"SELECT cls, count(*) AS n FROM ({DET_SQL}) GROUP BY cls"
 for _n, _k in (("o18_to_df", "json"), ("o19_to_csv", "csv"), ("o20_to_json", "json"), ("o22_save_one_txt", "text"), ("o12_export_combined_pixel_results", "json"), ("o14_simple_format", "text"), ("o25_results_to_csv", "csv")):
     register(_n, _COUNT)(written(_k))
 register("o9_shapefile_fields", f"SELECT det_id AS fid, cls AS cls_id, substr(CASE cls WHEN 0 THEN 'ship' WHEN 1 THEN 'plane' ELSE 'class_2' END, 1, 254) AS cls_nm, round(conf, 4) AS confid, round((x2-x1)*(y2-y1), 2) AS area_px FROM ({DET_SQL})")(
@@ -384,40 +322,10 @@ register("w14_read_log_file", "SELECT event_id FROM events WHERE ts > TIMESTAMP
 register("r26_extract_tracks", f"SELECT track_id, frame, round(x, 4) AS x FROM ({TRACK_SQL})")(lambda spark, sf_dir: tracks(spark, sf_dir).select("track_id", "frame", F.round("x", 4).alias("x")))
 
 
-# Motion filters and assignment by rows, in numpy.
-def by_box(name: str, f, sql: str) -> None:
-    """A number of a detection's box by a motion filter, and its closed form."""
-
-    def run(spark, sf_dir):
-        ship(spark)
-
-        def batches(it):
-            for pdf in it:
-                boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-                yield pd.DataFrame({"det_id": pdf.det_id, "v": [float(f(tracker.to_xyah(b))) for b in boxes]})
-
-        return detections(spark, sf_dir).select("det_id", "x1", "y1", "x2", "y2").mapInPandas(batches, "det_id long, v double").select("det_id", F.round("v", 5).alias("v"))
-
-    register(name, f"SELECT det_id, round({sql}, 5) AS v FROM ({DET_SQL})")(run)
-
-
-_H = "(y2 - y1)"
-by_box("r9_kalman_initiate", lambda z: tracker.initiate(z)[1][0, 0], f"(2 * {_H} / 20) ** 2")
-for _n in ("r10_kalman_predict", "r5_multi_predict", "r14_kalman_predict_xywh"):
-    by_box(_n, lambda z: tracker.predict(*tracker.initiate(z))[1][0, 0], f"(2 * {_H} / 20) ** 2 + (10 * {_H} / 160) ** 2 + ({_H} / 20) ** 2")
-by_box("r11_kalman_project", lambda z: tracker.observe(*tracker.initiate(z))[1][0, 0], f"(2 * {_H} / 20) ** 2 + ({_H} / 20) ** 2")
-for _n in ("r12_kalman_update", "r4_track_update"):
-    by_box(_n, lambda z: tracker.correct(*tracker.initiate(z), z + [10, 0, 0, 0])[0][0] - z[0], "10 * 4 / 5.0")
-by_box("r13_gating_distance", lambda z: tracker.gating(*tracker.initiate(z), (z + [10, 0, 0, 0])[None])[0], f"100 / ((2 * {_H} / 20) ** 2 + ({_H} / 20) ** 2)")
-register("r6_multi_gmc", f"SELECT det_id, round(0.5 * (x1+x2)/2 - 0.25 * (y1+y2)/2 + 3, 5) AS x FROM ({DET_SQL})")(lambda spark, sf_dir: detections(spark, sf_dir).select("det_id", F.round(0.5 * (F.col("x1") + F.col("x2")) / 2 - 0.25 * (F.col("y1") + F.col("y2")) / 2 + 3, 5).alias("x")))
 register("r7_get_dists", f"{_PAIR} SELECT det_id, odet_id, round(least(1 - i / (u + v - i + 1e-7) * c2, abs(c1 - c2)), 6) AS cost FROM p WHERE i > 0")(
     lambda spark, sf_dir: pairs(spark, sf_dir, F.lit(True)).select("det_id", "odet_id", F.round(F.least(B.fuse_score(1 - B.iou(B.col_box(), nms.other_box()), F.col("oconf")), F.abs(F.col("conf") - F.col("oconf"))), 6).alias("cost"))
 )
 register("r8_update_features", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (0.9::DOUBLE * p[1] + 0.1::DOUBLE * p[2]) ** 2)), 5) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda spark, sf_dir: (lambda v: v.select("vec_id", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round(F.aggregate(F.zip_with("a", "b", lambda x, y: F.pow(0.9 * x.cast("double") + 0.1 * y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, t: s + t), 5).alias("norm")))(table(spark, sf_dir, "embeddings"))
 )
-for _n in ("r2_track_activate", "r3_track_re_activate", "r17_tracker_reset", "r18_next_id", "j34_linear_assignment"):
-    register(_n, "SELECT c_custkey % 6 AS stream_id, count(*) AS tracks FROM customer WHERE c_custkey < 30 GROUP BY 1")(
-        lambda spark, sf_dir: tracker.track_batch(frames(spark, sf_dir)).groupBy("stream_id").agg(F.countDistinct("track_id").alias("tracks"))
-    )
 register("j25_mask_iou_batch")(lambda spark, sf_dir: M.window_iou(pixels(spark, sf_dir)).select("a", "b", F.round("iou", 6).alias("iou")))

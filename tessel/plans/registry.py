@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries; not before they are asked for, as executors import some of them alone."""
-    from tessel.plans import datasets, detection, evaluation, geometry, more, results, tracks  # noqa: F401
+    from tessel.plans import datasets, detection, evaluation, geometry, merging, more, motion, results, tracks  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,17 +18,17 @@ from tessel.sources.derived import DET_SQL, detections, ground_truth
 from tessel.streaming import tracker
 
 NAMES = ["ship", "plane"]
-_PX = f"WITH d AS (SELECT * FROM ({DET_SQL}) WHERE conf > 0.45), px AS (SELECT image_id, det_id, conf, cls, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM d, range(0, 70) a(r), range(0, 70) b(c) WHERE r BETWEEN floor(y1/8) AND floor(y2/8) AND c BETWEEN floor(x1/8) AND floor(x2/8))"
+_PX = f"WITH d AS ({DET_SQL}), px AS (SELECT image_id, det_id, conf, cls, row, CAST(unnest(range(floor(x1/8)::INT, floor(x2/8)::INT + 1)) AS INT) AS col FROM (SELECT *, CAST(unnest(range(floor(y1/8)::INT, floor(y2/8)::INT + 1)) AS INT) AS row FROM d))"
 _PAIRS = f"{_PX}, n AS (SELECT det_id, count(*) AS n, min(col) AS x1, max(col) AS x2, min(row) AS y1, max(row) AS y2 FROM px GROUP BY det_id), pr AS (SELECT p.image_id, p.det_id AS a, q.det_id AS b, count(*) AS inter FROM px p JOIN px q ON p.image_id = q.image_id AND p.row = q.row AND p.col = q.col AND p.det_id < q.det_id GROUP BY ALL)"
 
 
 def pixels(spark, sf_dir):
-    return M.box_pixels(detections(spark, sf_dir).where("conf > 0.45"))
+    return M.box_pixels(detections(spark, sf_dir))
 
 
 register("j4_mask_iou", f"{_PAIRS} SELECT image_id, a, b, round(inter / (x.n + y.n - inter), 6) AS iou FROM pr JOIN n x ON x.det_id = a JOIN n y ON y.det_id = b")(lambda spark, sf_dir: M.mask_iou(pixels(spark, sf_dir)).withColumn("iou", F.round("iou", 6)))
 register("j27_mask_iou_precise", f"{_PAIRS} SELECT a, b, round(inter / (x.n + y.n - inter), 6) AS iou FROM pr JOIN n x ON x.det_id = a JOIN n y ON y.det_id = b")(lambda spark, sf_dir: M.mask_iou(pixels(spark, sf_dir)).select("a", "b", F.round("iou", 6).alias("iou")))
-_WIN = f"{_PAIRS}, w AS (SELECT image_id, a, b, inter, greatest(x.x1, y.x1) AS x1, greatest(x.y1, y.y1) AS y1, least(x.x2, y.x2) AS x2, least(x.y2, y.y2) AS y2 FROM pr JOIN n x ON x.det_id = a JOIN n y ON y.det_id = b), o AS (SELECT a, b, count(*) AS n2 FROM w JOIN px ON px.det_id IN (a, b) AND col BETWEEN x1 AND x2 AND row BETWEEN y1 AND y2 GROUP BY a, b)"
+_WIN = f"{_PAIRS}, w AS (SELECT image_id, a, b, inter, greatest(x.x1, y.x1) AS x1, greatest(x.y1, y.y1) AS y1, least(x.x2, y.x2) AS x2, least(x.y2, y.y2) AS y2 FROM pr JOIN n x ON x.det_id = a JOIN n y ON y.det_id = b), o AS (SELECT a, b, count(*) AS n2 FROM (SELECT *, unnest([a, b]) AS det_id FROM w) w JOIN px USING (det_id) WHERE col BETWEEN x1 AND x2 AND row BETWEEN y1 AND y2 GROUP BY a, b)"
 for _n in ("j24_mask_iou_window", "j26_mask_iou_fast"):
     register(_n, f"{_WIN} SELECT image_id, a, b, round(inter / (n2 - inter), 6) AS iou FROM w JOIN o USING (a, b)")(lambda spark, sf_dir: M.window_iou(pixels(spark, sf_dir)).withColumn("iou", F.round("iou", 6)))
 register("j23_has_pixel_overlap", f"{_PAIRS} SELECT a, b FROM pr")(lambda spark, sf_dir: M.mask_pairs(pixels(spark, sf_dir)).select("a", "b"))
@@ -82,22 +82,10 @@ def obb_fast_nms(det, threshold: float = 0.3, keys=("image_id", "cls")):
 register("a23_obb_eval_json")(lambda spark, sf_dir: obb_fast_nms(detections(spark, sf_dir)).select("det_id"))
 
 
-def frames(spark, sf_dir):
-    """Six streams of thirty frames: boxes of customers that move at their own speeds."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 30")
-    f = c.select(F.col("c_custkey").alias("k"), "c_nationkey", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("frame"))
-    x, y = (F.col("k") * 97 % 400) + F.col("frame") * (F.col("k") % 5 - 2), (F.col("k") * 61 % 300) + F.col("frame") * (F.col("k") % 3 - 1)
-    return f.select((F.col("k") % 6).alias("stream_id"), F.col("frame").cast("long").alias("frame"), (F.col("k") * 1000 + F.col("frame")).alias("det_id"), F.lit(0.8).alias("conf"), F.lit("c").alias("cls"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 30).cast("double").alias("x2"), (y + 40).cast("double").alias("y2"))
-
-
-for _n in ("r1_byte_tracker", "r16_tracker_per_stream"):
-    register(_n)(lambda spark, sf_dir: tracker.track_batch(frames(spark, sf_dir)))
-
-
 def assign_truth(spark, sf_dir):
     """An optimal one-to-one assignment of detections to labels in each image, by class, distance and IoU costs."""
     ship(spark)
-    d = detections(spark, sf_dir).where("conf > 0.3").select("image_id", F.lit("p").alias("side"), F.col("det_id").alias("id"), "cls", "conf", "x1", "y1", "x2", "y2")
+    d = detections(spark, sf_dir).select("image_id", F.lit("p").alias("side"), F.col("det_id").alias("id"), "cls", "conf", "x1", "y1", "x2", "y2")
     g = ground_truth(spark, sf_dir).select("image_id", F.lit("g").alias("side"), F.col("gt_id").alias("id"), "cls", F.lit(1.0).alias("conf"), "x1", "y1", "x2", "y2")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,12 +132,12 @@ def oks(det):
     return d.select("det_id", F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / (3 + 1e-7), 6).alias("oks"))
 
 
-_ANCHOR = f"WITH g AS (SELECT det_id, image_id, conf, x1, y1, x2, y2 FROM ({DET_SQL}) WHERE conf > 0.4), a AS (SELECT (i % 20 + 0.5::DOUBLE) * 20 AS ax, (i // 20 + 0.5::DOUBLE) * 20 AS ay, i AS anchor FROM range(0, 400) t(i)), p AS (SELECT image_id, det_id, anchor, conf / (1 + abs(ax - (x1+x2)/2) + abs(ay - (y1+y2)/2)) AS fit FROM g JOIN a ON ax > x1 AND ax < x2 AND ay > y1 AND ay < y2)"
+_ANCHOR = f"WITH g AS (SELECT det_id, image_id, conf, x1, y1, x2, y2 FROM ({DET_SQL})), a AS (SELECT (i % 20 + 0.5::DOUBLE) * 20 AS ax, (i // 20 + 0.5::DOUBLE) * 20 AS ay, i AS anchor FROM range(0, 400) t(i)), p AS (SELECT image_id, det_id, anchor, conf / (1 + abs(ax - (x1+x2)/2) + abs(ay - (y1+y2)/2)) AS fit FROM g JOIN a ON ax > x1 AND ax < x2 AND ay > y1 AND ay < y2)"
 
 
 def anchors(spark, sf_dir):
     """Anchor centres strictly in a box, by the grid cells that it covers: no anchor is compared with every box."""
-    g = detections(spark, sf_dir).where("conf > 0.4")
+    g = detections(spark, sf_dir)
     cell = lambda lo, hi: F.sequence(F.greatest(F.floor(F.col(lo) / 20), F.lit(0)), F.least(F.floor(F.col(hi) / 20), F.lit(19)))
     p = g.select("*", F.explode(cell("x1", "x2")).alias("i")).select("*", F.explode(cell("y1", "y2")).alias("j"))
     p = p.withColumns({"ax": (F.col("i") + 0.5) * 20, "ay": (F.col("j") + 0.5) * 20, "anchor": F.col("j") * 20 + F.col("i")}).where("ax > x1 AND ax < x2 AND ay > y1 AND ay < y2")

@@ -45,6 +45,7 @@ class Track:
     frame: int
     state: str = "tracked"  # or lost
     active: bool = False
+    event: str = "start"  # what its last frame was: start, activate, confirm, update or re_activate
 
 
 @dataclass
@@ -111,6 +112,37 @@ def correct(mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarra
     return mean + gain @ (z - m), cov - gain @ s @ gain.T
 
 
+def to_xywh(b: np.ndarray) -> np.ndarray:
+    return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]])
+
+
+def _noise_wh(mean: np.ndarray, scale: float, share: float) -> np.ndarray:
+    """Deviations of the filter over width and height: of x and w by the width, of y and h by the height."""
+    return scale * share * np.array([mean[2], mean[3], mean[2], mean[3]])
+
+
+def initiate_wh(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R9 for a state of centre, width and height."""
+    return np.concatenate([z, np.zeros(4)]), np.diag(np.concatenate([_noise_wh(z, 2, POSITION), _noise_wh(z, 10, VELOCITY)]) ** 2)
+
+
+def predict_wh(mean: np.ndarray, cov: np.ndarray, tracked: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One frame on; a track that isn't tracked keeps its width and height."""
+    mean = mean.copy()
+    if not tracked:
+        mean[6:] = 0
+    std = np.concatenate([_noise_wh(mean, 1, POSITION), _noise_wh(mean, 1, VELOCITY)])
+    return _MOVE @ mean, _MOVE @ cov @ _MOVE.T + np.diag(std**2)
+
+
+def warp(mean: np.ndarray, cov: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state after the camera moved by a 2 by 3 matrix: its rotation on every pair of the state, then the shift."""
+    turn = np.kron(np.eye(4), h[:, :2])
+    mean = turn @ mean
+    mean[:2] += h[:, 2]
+    return mean, turn @ cov @ turn.T
+
+
 def gating(mean: np.ndarray, cov: np.ndarray, zs: np.ndarray) -> np.ndarray:
     """Squared Mahalanobis distances of measurements."""
     m, s = observe(mean, cov)
@@ -128,12 +160,31 @@ def iou_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """The pairs of a minimum-cost assignment in which a pair may cost at most limit, or be left out for it.
 
-    The square problem has a stand-in row for each column and the reverse, at half the limit each, and is solved by
-    shortest augmenting paths with potentials.
+    Rows and columns that no pair within the limit connects are apart: each such group is a problem of its own, and a
+    pair alone needs none.
     """
+    rows, cols = np.nonzero(cost <= limit)
+    n = cost.shape[0]
+    of = np.arange(n + cost.shape[1])
+    while len(rows):
+        low, was = np.minimum(of[rows], of[n + cols]), of.copy()
+        np.minimum.at(of, rows, low)
+        np.minimum.at(of, n + cols, low)
+        of = of[of]
+        if (of == was).all():
+            break
+    out = []
+    for g in np.unique(of[rows]):
+        a, b = np.flatnonzero(of[:n] == g), np.flatnonzero(of[n:] == g)
+        pairs = [(0, 0)] if len(a) == len(b) == 1 else _assign(cost[np.ix_(a, b)], limit)
+        out += [(int(a[i]), int(b[j])) for i, j in pairs]
+    return sorted(out, key=lambda p: p[1])
+
+
+def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """The whole problem: a square one with a stand-in row for each column and the reverse, at half the limit each, solved
+    by shortest augmenting paths with potentials."""
     n, m = cost.shape
-    if not n or not m:
-        return []
     full = np.full((n + m, n + m), limit / 2)
     full[:n, :m] = np.where(cost <= limit, cost, 1e6)
     full[n:, m:] = 0
@@ -181,10 +232,13 @@ def step(state: State, boxes: np.ndarray, scores: np.ndarray, classes: list[str]
     def take(track: Track, row: int) -> None:
         mean, cov = correct(np.array(track.mean), np.array(track.cov), to_xyah(boxes[row]))
         track.mean, track.cov, track.score, track.cls = mean.tolist(), cov.tolist(), float(scores[row]), classes[row]
+        track.event = "confirm" if not track.active else "re_activate" if track.state == "lost" else "update"
         track.frame, track.state, track.active = state.frame, "tracked", True
         now.append((track, row))
 
     for t in state.tracks:
+        if not t.active:
+            continue  # a track of one frame is matched where it was seen
         mean, cov = predict(np.array(t.mean), np.array(t.cov), t.state == "tracked")
         t.mean, t.cov = mean.tolist(), cov.tolist()
     fresh = [t for t in state.tracks if not t.active]
@@ -212,6 +266,7 @@ def step(state: State, boxes: np.ndarray, scores: np.ndarray, classes: list[str]
             state.next_id += 1
             state.tracks.append(track)
             if track.active:
+                track.event = "activate"
                 now.append((track, row))
     state.tracks = [t for t in state.tracks if id(t) not in gone and not (t.state == "lost" and state.frame - t.frame > config.buffer)]
     _drop_doubles(state)
@@ -230,7 +285,7 @@ def _drop_doubles(state: State, near: float = 0.15) -> None:
         state.tracks = [t for t in state.tracks if id(t) not in gone]
 
 
-OUTPUT = "stream_id long, frame long, det_id long, track_id long, score double"
+OUTPUT = "stream_id long, frame long, det_id long, track_id long, score double, event string"
 
 
 def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -247,8 +302,8 @@ def run_frames(state: State, pdf: pd.DataFrame, stream_id: int, config: Config)
             step(state, np.empty((0, 4)), np.empty(0), [], config)
         boxes = g[["x1", "y1", "x2", "y2"]].to_numpy(float)
         for t, i in step(state, boxes, g["conf"].to_numpy(float), g["cls"].astype(str).tolist(), config):
-            rows.append((stream_id, int(frame), int(g["det_id"].iloc[i]), t.track_id, float(t.score)))
-    return pd.DataFrame(rows, columns=["stream_id", "frame", "det_id", "track_id", "score"])
+            rows.append((stream_id, int(frame), int(g["det_id"].iloc[i]), t.track_id, float(t.score), t.event))
+    return pd.DataFrame(rows, columns=["stream_id", "frame", "det_id", "track_id", "score", "event"])
 
 
 def track_batch(det: DataFrame, config: Config = Config()) -> DataFrame:
@@ -261,6 +316,26 @@ def track_batch(det: DataFrame, config: Config = Config()) -> DataFrame:
     return det.groupBy("stream_id").applyInPandas(run, OUTPUT)
 
 
+def track_videos(det: DataFrame, config: Config = Config(), persist: bool = False) -> DataFrame:
+    """R1 over a table that also has video. Unless persist is given a new video begins with new tracks, and ids from 1."""
+    ship(det.sparkSession)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, parts = State(), []
+        for video, own in pdf.groupby("video", sort=True):
+            if not persist:
+                state = State(frame=int(own["frame"].min()) - 1)
+                own = own.assign(frame=own["frame"] - state.frame)
+                shift, state.frame = state.frame, 0
+            else:
+                shift = 0
+            found = run_frames(state, own, int(key[0]), config)
+            parts.append(found.assign(video=int(video), frame=found["frame"] + shift))
+        return pd.concat(parts)
+
+    return det.groupBy("stream_id").applyInPandas(run, OUTPUT + ", video int")
+
+
 def track_stream(det: DataFrame, config: Config = Config(), idle: int | None = None) -> DataFrame:
     """R1, R17 over a streaming table: the state of each stream lives in the state store and, where idle is given,
     ends after so many milliseconds without frames (such a query never runs out of batches to look for timeouts in)."""
