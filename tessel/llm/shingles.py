@@ -16,6 +16,7 @@ from tessel.llm.common import materialize
 SEED = 42
 BLOCK = 1024  # sets of a block, as a mean
 VOLUME = 1 << 21  # shingles of a block, as a mean
+BROADCAST = 1 << 20  # rows of candidates (40 MB) up to which they are sent to all tasks instead of shuffling all texts
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -128,7 +129,8 @@ def confirmed(docs: DataFrame, held: DataFrame, words: int, least: float) -> Dat
     sizes = held.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).alias("parts"))
     held = held.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     held = materialize(held.select("doc", "node", "comp", "part", "parts"), "held")
-    mine = docs.join(held, "doc").select("node", "comp", "part", "parts", "text")
+    small = F.broadcast if held.count() <= BROADCAST else lambda x: x  # beyond it the texts shuffle
+    mine = docs.join(small(held), "doc").select("node", "comp", "part", "parts", "text")
     sets = mine.mapInArrow(_sets(words), "comp long, part long, parts long, node long, own binary")
     sets = sets.repartition("comp", "part").sortWithinPartitions("comp", "part")
     blocks = materialize(sets.mapInArrow(_blocks, "comp long, part long, parts long, n array<long>, s array<binary>"), "blocks")
