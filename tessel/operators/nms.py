@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessel.functions.boxes import Box, col_box, iou
 from tessel.operators.spatial import box_join, others
-from tessel.session import ship
+from tessel.session import materialize, ship
+
+MOST = 4096  # touching boxes of an image and class up to which one task settles them
 
 
 def other_box() -> Box:
@@ -55,18 +57,41 @@ def _greedy(threshold: float, strict: bool, key: str) -> Callable[[pa.Table], pa
     return run
 
 
-def greedy_nms(det: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_id", "cls"), strict: bool = False, cell: float = 64.0) -> DataFrame:
+def _suppressed(pairs: DataFrame) -> DataFrame:
+    """det_id of the boxes that the greedy rule drops, from all pairs (worse, better) beyond the bound.
+
+    A box with no better one left is kept and drops its neighbours, which then drop nobody; what is left goes to the next
+    round. Every round settles the best box left of each cluster and, for scores in no special order, far more, so that
+    the rounds grow with the logarithm of the boxes. Each is a few joins by id: no group is gathered.
+    """
+    pairs = materialize(pairs.select("worse", "better"), "overlaps")
+    lost = pairs.select(F.col("worse").alias("det_id")).limit(0)
+    while pairs.take(1):
+        free = pairs.select("better").distinct().join(pairs.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        gone = materialize(pairs.join(free, "better", "left_semi").select("worse").distinct(), "suppressed")
+        lost = lost.unionByName(gone.select(F.col("worse").alias("det_id")))
+        left = pairs.join(gone, "worse", "left_anti").join(gone.select(F.col("worse").alias("better")), "better", "left_anti")
+        pairs = materialize(left, "overlaps")
+    return lost
+
+
+def greedy_nms(det: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_id", "cls"), strict: bool = False, cell: float = 64.0, most: int = MOST) -> DataFrame:
     """A2, A4 (strict False: keep an IoU of at most threshold) and A5 (strict True: keep one below it).
 
-    Boxes that touch no other beyond the bound are kept outright by a gridded join; only the rest, grouped by keys, run
-    through the sequential rule, and a suppressed box suppresses nobody. A group is the boxes of one image and class.
+    Boxes that touch no other beyond the bound are kept outright by a gridded join, whose pairs are written once. The rest
+    run through the sequential rule by keys, where a suppressed box suppresses nobody; keys that have more than most of
+    them (one raster that holds all boxes) go in rounds over the pairs, with the same result, so that no task holds them.
     """
     ship(det.sparkSession)
     over = iou(col_box(), other_box(), 0) >= threshold if strict else iou(col_box(), other_box(), 0) > threshold
-    touched = box_join(det, others(det, "det_id", keys=keys), list(keys), cell, (F.col("odet_id") != F.col("det_id")) & over).select("det_id").distinct()
+    met = box_join(det, others(det, "conf", "det_id", keys=keys), list(keys), cell, ahead() & (F.col("odet_id") != F.col("det_id")) & over)
+    pairs = materialize(met.select(*keys, F.col("det_id").alias("worse"), F.col("odet_id").alias("better")), "touching")
+    touched = pairs.select(*keys, F.explode(F.array("worse", "better")).alias("det_id")).distinct()
+    large = materialize(touched.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys), "large")
+    touched = touched.join(large, list(keys), "left_anti").select("det_id")
     hard = det.join(touched, "det_id", "left_semi").select(*keys, "det_id", "conf", "x1", "y1", "x2", "y2")
     kept = hard.groupBy(*keys).applyInArrow(_greedy(threshold, strict, "det_id"), "det_id long")
-    lost = touched.join(kept, "det_id", "left_anti")
+    lost = touched.join(kept, "det_id", "left_anti").unionByName(_suppressed(pairs.join(large, list(keys), "left_semi")))
     return det.join(lost, "det_id", "left_anti").select(det.columns)
 
 

@@ -83,6 +83,7 @@ def test_suppression_properties(spark):
         ids = {r["det_id"] for r in kept.collect()}
         assert ids == _greedy(rows, 0.4, strict)
         assert {r["det_id"] for r in nms.greedy_nms(kept, 0.4, strict=strict).collect()} == ids
+        assert {r["det_id"] for r in nms.greedy_nms(det, 0.4, strict=strict, most=1).collect()} == ids
     assert {r["det_id"] for r in nms.fast_nms(det, 0.4).collect()} <= _greedy(rows, 0.4, True)
     assert nms.fast_nms(det.limit(0), 0.4).count() == 0
 
