@@ -61,8 +61,9 @@ def _suppressed(pairs: DataFrame) -> DataFrame:
     """det_id of the boxes that the greedy rule drops, from all pairs (worse, better) beyond the bound.
 
     A box with no better one left is kept and drops its neighbours, which then drop nobody; what is left goes to the next
-    round. Every round settles the best box left of each cluster and, for scores in no special order, far more, so that
-    the rounds grow with the logarithm of the boxes. Each is a few joins by id: no group is gathered.
+    round. For scores in no special order the rounds grow with the logarithm of the boxes; boxes that overlap in a row of
+    falling scores (or equal ones, which ids order) take a round for two of them. A round is a few joins by id: no group
+    is gathered.
     """
     pairs = materialize(pairs.select("worse", "better"), "overlaps")
     lost = pairs.select(F.col("worse").alias("det_id")).limit(0)
