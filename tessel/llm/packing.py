@@ -30,7 +30,7 @@ LONG = 1 << 20  # characters from which a text goes to the slower library, whose
 
 @lru_cache(maxsize=2)
 def _fast(path: str):
-    """The vocabulary of a byte-level file as ranks; every token of it encodes to itself, so both libraries agree."""
+    """The vocabulary of a byte-level file as ranks; every token of it but the added ones, which are matched first, encodes to itself, so both libraries agree."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
