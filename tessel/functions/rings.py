@@ -96,6 +96,31 @@ def resample(ring: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
 
+def runs(ring: Column, height: int, width: int) -> Column:
+    """The pixels whose centres a polygon holds, by the even-odd rule, as an array of row, start and stop.
+
+    Runs are half-open and clipped to the raster, so a mask takes room by its outline and not by its raster. A ring of
+    less than three points holds none, a null one is null.
+    """
+    n = F.size(ring)
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + 1) % n).alias("b")))
+    box = bounds(ring)
+    low, high = F.greatest(F.ceil(box.b - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(box.d - 0.5), F.lit(height)).cast("int") - 1
+
+    def crossings(y):
+        hit = F.filter(sides, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        return F.array_sort(F.transform(hit, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+
+    def between(line):
+        edge = lambda k: F.greatest(F.least(F.ceil(F.get(line["x"], k) - 0.5), F.lit(width)), F.lit(0)).cast("int")
+        pairs = F.when(F.size(line["x"]) > 1, F.sequence(F.lit(0), F.size(line["x"]) - 2, F.lit(2)))
+        return F.transform(pairs, lambda k: F.struct(line["row"].alias("row"), edge(k).alias("start"), edge(k + 1).alias("stop")))
+
+    lines = F.transform(F.sequence(low, high), lambda r: F.struct(r.alias("row"), crossings(r + 0.5).alias("x")))
+    found = F.filter(F.flatten(F.filter(F.transform(lines, between), lambda a: a.isNotNull())), lambda r: r["stop"] > r["start"])
+    return F.when(ring.isNull(), None).when((n > 2) & (low <= high), found).otherwise(F.array().cast("array<struct<row:int,start:int,stop:int>>"))
+
+
 def text(ring: Column, digits: int = 6) -> Column:
     """The coordinates in turn with fixed digits, separated by spaces."""
     return F.array_join(F.flatten(F.transform(ring, lambda p: F.array(F.format_string(f"%.{digits}f", p["x"]), F.format_string(f"%.{digits}f", p["y"])))), " ")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.operators.graph import components
+from tessel.session import materialize
 
 
 def box_pixels(det: DataFrame, step: int = 8) -> DataFrame:
@@ -124,12 +125,17 @@ def rle_string(counts: list[int]) -> str:
 
 
 def regions(px: DataFrame, least: int) -> DataFrame:
-    """P63, islands: the pixels of each mask in 8-connected regions of at least so many."""
-    key = F.struct("det_id", "row", "col")
-    p = px.select("det_id", "row", "col").distinct().withColumn("id", F.xxhash64(key))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    q = p.select("det_id", F.col("id").alias("a"), F.explode(near).alias("s"), "row", "col").select("det_id", "a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
-    comp = components(q.join(p, ["det_id", "row", "col"]).select("a", F.col("id").alias("b")), "a", "b")
-    p = p.join(comp, p["id"] == comp["node"], "left").withColumn("region", F.coalesce("comp", "id"))
-    size = p.groupBy("det_id", "region").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return p.join(size, ["det_id", "region"]).select("det_id", "region", "row", "col")
+    """P63, islands: the pixels of each mask in 8-connected regions of at least so many.
+
+    What is linked are runs of pixels in a row, not pixels; rows are dealt one by one, so a large mask is no single task.
+    """
+    p = px.select("det_id", "row", "col").repartition("det_id", "row").distinct()
+    p = p.withColumn("g", F.col("col") - F.row_number().over(Window.partitionBy("det_id", "row").orderBy("col")))
+    r = p.groupBy("det_id", "row", "g").agg(F.min("col").alias("start"), F.max("col").alias("stop"))
+    r = materialize(r.select("det_id", "row", "start", "stop", F.xxhash64("det_id", "row", "start").alias("id")), "regions")
+    above = r.select("det_id", (F.col("row") + 1).alias("row"), F.col("start").alias("s"), F.col("stop").alias("t"), F.col("id").alias("a"))
+    links = above.join(r, ["det_id", "row"]).where("start <= t + 1 AND stop >= s - 1")
+    comp = components(links.select("a", F.col("id").alias("b")), "a", "b")
+    r = r.join(comp, r["id"] == comp["node"], "left").withColumn("region", F.coalesce("comp", "id"))
+    size = r.groupBy("det_id", "region").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("size")).where(F.col("size") >= least)
+    return r.join(size, ["det_id", "region"]).select("det_id", "region", "row", F.explode(F.sequence("start", "stop")).alias("col"))

@@ -23,7 +23,7 @@ from tessel.plans.more import _PX, on_tiles
 from tessel.plans.registry import register
 from tessel.plans.results import _MM, _WIN, pixels
 from tessel.session import materialize, ship, work_path
-from tessel.sources.derived import DET_SQL, GT_SQL, detections, ground_truth, table
+from tessel.sources.derived import DET_SQL, detections, ground_truth, table
 
 # Polygons: triangles whose third corner and turn depend on the detection.
 

@@ -4,29 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import boxes as B
-from tessel.functions import polygons as P
 from tessel.functions import rings as R
 from tessel.operators import masks as M
 from tessel.operators import nms, tiles
-from tessel.operators.graph import components
-from tessel.operators.spatial import box_join, others
-from tessel.plans.detection import IMG_SQL, grid, images, merge_boxes, pairs
+from tessel.operators.spatial import box_join
+from tessel.plans.detection import IMG_SQL, grid, images, pairs
 from tessel.plans.evaluation import _IOU
-from tessel.plans.geometry import GEO, boundary_filter
+from tessel.plans.geometry import GEO
 from tessel.plans.registry import register
 from tessel.plans.results import NAMES, pixels
-from tessel.session import ship, work_path
+from tessel.session import work_path
 from tessel.sources import formats
-from tessel.sources.derived import DET_SQL, GT_SQL, TRACK_SQL, detections, ground_truth, rings, table, tracks
-from tessel.streaming import tracker
+from tessel.sources.derived import DET_SQL, TRACK_SQL, detections, rings, table, tracks
 
-# Polygons in numpy: triangles of each box.
+# Polygons: triangles of each box.
 
 
 def triangles(spark, sf_dir: str) -> DataFrame:
@@ -35,35 +30,15 @@ def triangles(spark, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).withColumn("ring", F.array(p("x1", "y1"), p("x2", "y1"), p("x1", "y2")))
 
 
-def points(ring) -> np.ndarray:
-    return np.array([[p["x"], p["y"]] for p in ring], float).reshape(-1, 2)
-
-
-def by_ring(df: DataFrame, f, kind: str, *cols: str):
-    """A column of f(points, values...) for each ring, by an Arrow function."""
-    ship(df.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            d = batch.to_pylist()
-            out = [f(points(r["ring"]), *(r[c] for c in cols)) for r in d]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, {"double": pa.float64(), "long": pa.int64()}[kind])], names=["det_id", "v"])
-
-    return df.select("det_id", "ring", *cols).mapInArrow(run, f"det_id long, v {kind}")
-
-
-def _polygon(name: str, f, kind: str, sql: str, *cols: str) -> None:
-    def run(spark, sf_dir):
-        out = by_ring(triangles(spark, sf_dir), f, kind, *cols)
-        return out.select("det_id", (F.round("v", 5) + 0.0).alias("v")) if kind == "double" else out
-
-    register(name, f"SELECT det_id, {sql} AS v FROM ({DET_SQL})")(run)
-
-
-for _n in ("p33_polygon2mask", "p34_polygons2masks"):
-    _polygon(_n, lambda p: int(P.rasterize(np.array([p[0], [p[1][0], p[0][1]], [p[1][0], p[2][1]], p[2]]), 200, 200).sum()), "long", "CAST(greatest(0, least(x2, 200) - x1) * greatest(0, least(y2, 200) - y1) AS BIGINT)")
+_RUNS = f"SELECT det_id, r AS row, CAST(x1 AS INT) AS start, CAST(least(200, ceil(x2 + (r + 0.5 - y1) * (x1 - x2) / (y2 - y1) - 0.5)) AS INT) AS stop FROM (SELECT *, CAST(unnest(range(CAST(y1 AS BIGINT), CAST(least(y2, 200) AS BIGINT))) AS INT) AS r FROM ({DET_SQL}))"
+register("p33_polygon2mask", f"SELECT * FROM ({_RUNS}) WHERE stop > start")(
+    lambda spark, sf_dir: triangles(spark, sf_dir).select("det_id", F.inline(R.runs(F.col("ring"), 200, 200)))
+)
+register("p34_polygons2masks", f"SELECT image_id, det_id, CAST(greatest(0, least(x2, 200) - x1) * greatest(0, least(y2, 200) - y1) AS BIGINT) AS pixels FROM ({DET_SQL})")(
+    lambda spark, sf_dir: rings(detections(spark, sf_dir)).select(
+        "image_id", "det_id", F.aggregate(R.runs(F.col("ring"), 200, 200), F.lit(0).cast("long"), lambda s, r: s + r["stop"] - r["start"]).alias("pixels")
+    )
+)
 
 # Tiles: georeference, mosaics, windows.
 _CELLS = f"(SELECT image_id, CAST(r * ceil(width / 96.0)::INT + c AS INT) AS tile_id, CAST(r * 96 AS INT) AS ro, CAST(c * 96 AS INT) AS co, least(128, height - r * 96) AS h, least(128, width - c * 96) AS w FROM ({IMG_SQL}), range(0, 10) a(r), range(0, 10) b(c) WHERE r * 96 < height AND c * 96 < width)"

@@ -80,16 +80,15 @@ def features(det: DataFrame, names: list[str], g: tuple[float, ...]) -> DataFram
 
 def write_geojson(det: DataFrame, path: str, names: list[str], g: tuple[float, ...], crs: str) -> None:
     """O1: one FeatureCollection file. Its one task gets finished lines only; for large results write features() as lines."""
-    lines = features(det, names, g).select(F.col("det_id").alias("k"), F.col("feature").alias("value"))
-    n = lines.count()
-    w = lines.orderBy("k").coalesce(1)
+    n = det.count()
     head = F.lit('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "' + crs + '"}}, "features": [')
-    from pyspark.sql import Window
-
-    r = w.withColumn("r", F.row_number().over(Window.orderBy("k")))
-    text = F.concat(F.when(F.col("r") == 1, F.concat(head, F.lit("\n"))).otherwise(F.lit("")), F.col("value"), F.when(F.col("r") == n, F.lit("\n]}")).otherwise(F.lit(",")))
-    out = r.select(text.alias("value")) if n else det.sparkSession.range(1).select(F.concat(head, F.lit("]}")).alias("value"))
-    out.coalesce(1).write.mode("overwrite").text(path)
+    if not n:
+        det.sparkSession.range(1).select(F.concat(head, F.lit("]}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        return
+    # In one partition the id that grows is the row's number; the sort before it has many.
+    r = features(det, names, g).orderBy("det_id").coalesce(1).select("feature", F.monotonically_increasing_id().alias("r"))
+    text = F.concat(F.when(F.col("r") == 0, F.concat(head, F.lit("\n"))).otherwise(F.lit("")), "feature", F.when(F.col("r") == n - 1, F.lit("\n]}")).otherwise(F.lit(",")))
+    r.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def coco_results(det: DataFrame) -> DataFrame:

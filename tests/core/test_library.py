@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import boxes as B
 from tessel.functions import polygons as P
+from tessel.functions import rings as R
 from tessel.operators import evaluation as E
 from tessel.operators import masks, nms
 from tessel.operators.graph import components
@@ -139,6 +140,49 @@ def test_polygons():
     assert len(joined) == 10 and P.area(joined) == 200
 
 
+def test_runs_of_polygons(spark):
+    rng = np.random.default_rng(3)
+    shapes = [rng.integers(-20, 60, (n, 2)).astype(float) + rng.choice([0, 0.5, 0.25]) for n in (3, 4, 5, 7, 9) for _ in range(12)]
+    shapes += [np.array([[0, 0], [50, 0], [50, 50], [0, 50.0]]), np.array([[60, 60], [70, 60], [70, 70.0]]), np.array([[5, 5], [9, 5], [9, 5.0]]), np.zeros((2, 2)), np.zeros((0, 2))]
+    df = spark.createDataFrame([(i, [tuple(p) for p in s.tolist()]) for i, s in enumerate(shapes)] + [(-1, None)], "i int, ring array<struct<x: double, y: double>>")
+    for row in df.select("i", R.runs(F.col("ring"), 40, 30).alias("runs")).collect():
+        got = np.zeros((40, 30), bool)
+        if row["i"] < 0:
+            assert row["runs"] is None
+            continue
+        for r in row["runs"]:
+            assert not got[r["row"], r["start"] : r["stop"]].any()
+            got[r["row"], r["start"] : r["stop"]] = True
+        s = shapes[row["i"]]
+        assert (got == (P.rasterize(s, 40, 30) if len(s) > 2 else False)).all()
+
+
+def test_regions(spark):
+    rng = np.random.default_rng(4)
+    grids = {d: rng.random((14, 17)) < share for d, share in enumerate((0.1, 0.3, 0.4, 0.6, 1.0))}
+    cells = [(d, int(r), int(c)) for d, g in grids.items() for r, c in zip(*np.nonzero(g), strict=True)]
+    px = spark.createDataFrame(cells + cells[:20], "det_id long, row int, col int")
+    for least in (1, 4):
+        want = set()
+        for d, g in grids.items():
+            left = {(int(r), int(c)) for r, c in zip(*np.nonzero(g), strict=True)}
+            while left:
+                open_, found = [left.pop()], set()
+                while open_:
+                    r, c = open_.pop()
+                    found.add((r, c))
+                    near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                    left -= near
+                    open_ += near
+                if len(found) >= least:
+                    want.add((d, frozenset(found)))
+        got = {}
+        for r in masks.regions(px, least).collect():
+            assert (r["row"], r["col"]) not in got.setdefault((r["det_id"], r["region"]), set())
+            got[r["det_id"], r["region"]].add((r["row"], r["col"]))
+        assert {(d, frozenset(c)) for (d, _), c in got.items()} == want
+
+
 def test_rle_string():
     assert masks.rle_string([0]) == "0" and masks.rle_string([5, 40, 100]) == "5X1T3"
 
