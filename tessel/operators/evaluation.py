@@ -33,13 +33,15 @@ def one_to_one(p: DataFrame) -> DataFrame:
     """det_id, gt_id, thr of the matches among pairs (det_id, oid, conf, iou), by any similarity.
 
     For each threshold: a detection takes the label it is most similar to (the smaller id on ties), then a label keeps
-    the first detection by score and id. Both choices are min/max aggregates, so no group is sorted or gathered.
+    the first detection by score and id. The first choice is the same at every threshold that the similarity reaches, so
+    it is made once; the second has a column for each. Both are min/max aggregates: no group is sorted or gathered.
     """
-    p = p.where(F.col("iou") >= THRESHOLDS[0]).withColumn("thr", F.explode(F.array(*map(F.lit, THRESHOLDS)))).where("iou >= thr")
-    best = p.groupBy("det_id", "thr").agg(F.max(F.struct("iou", (-F.col("oid")).alias("g"), "conf")).alias("b"))
-    best = best.select("det_id", "thr", (-F.col("b.g")).alias("gt_id"), F.col("b.conf").alias("conf"))
-    first = best.groupBy("gt_id", "thr").agg(F.max(F.struct("conf", (-F.col("det_id")).alias("d"))).alias("f"))
-    return first.select((-F.col("f.d")).alias("det_id"), "gt_id", "thr")
+    p = p.where(F.col("iou") >= THRESHOLDS[0])
+    best = p.groupBy("det_id").agg(F.max(F.struct("iou", (-F.col("oid")).alias("g"), "conf")).alias("b")).select("det_id", "b.*")
+    own = F.struct("conf", (-F.col("det_id")).alias("d"))
+    first = best.groupBy((-F.col("g")).alias("gt_id")).agg(*[F.max(F.when(F.col("iou") >= t, own)).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)])
+    found = first.select("gt_id", F.explode(F.array(*[F.struct(F.col(f"t{i}.d").alias("d"), F.lit(t).alias("thr")) for i, t in enumerate(THRESHOLDS)])).alias("m"))
+    return found.where("m.d IS NOT NULL").select((-F.col("m.d")).alias("det_id"), "gt_id", "m.thr")
 
 
 def true_positives(pred: DataFrame, truth: DataFrame, cell: float = 64.0) -> DataFrame:
@@ -103,11 +105,21 @@ def recalls(tp: DataFrame, truth: DataFrame) -> DataFrame:
     return found.join(F.broadcast(labels), "cls").select("cls", "thr", "tp", "n", (F.col("tp") / F.col("labels")).alias("recall"))
 
 
-def precision_recall(tp: DataFrame, truth: DataFrame) -> DataFrame:
-    """Cls, thr, rank, conf, recall and precision at every detection."""
+def precision_recall(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
+    """Cls, thr, rank, conf, recall and precision at every detection, by the matches given.
+
+    A detection goes through the sort once, with one bit for each threshold at which it matches; the thresholds become
+    rows only behind it.
+    """
     labels = truth.groupBy("cls").agg(F.count("*").alias("labels"))
-    r = running(tp, ["cls", "thr"], "conf", "det_id", ["tp"]).join(F.broadcast(labels), "cls")
-    return r.select("cls", "thr", "det_id", F.col("r_n").alias("rank"), "conf", (F.col("r_tp") / (F.col("labels") + EPS)).alias("recall"), (F.col("r_tp") / F.col("r_n")).alias("precision"))
+    at = F.array_position(F.array(*map(F.lit, THRESHOLDS)), F.col("thr")).cast("int") - 1
+    bits = matches.select("det_id", at.alias("at")).groupBy("det_id").agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("bits"))
+    hits = [f"h{i}" for i in range(len(THRESHOLDS))]
+    d = pred.select("det_id", "cls", "conf").join(bits, "det_id", "left")
+    d = d.select("det_id", "cls", "conf", *[F.expr(f"coalesce(shiftright(bits, {i}) & 1, 0)").alias(h) for i, h in enumerate(hits)])
+    r = running(d, ["cls"], "conf", "det_id", hits).join(F.broadcast(labels), "cls")
+    r = r.select("cls", "det_id", "conf", "labels", F.col("r_n").alias("rank"), F.explode(F.array(*[F.struct(F.lit(t).alias("thr"), F.col(f"r_{h}").alias("tp")) for h, t in zip(hits, THRESHOLDS, strict=True)])).alias("at"))
+    return r.select("cls", "at.thr", "det_id", "rank", "conf", (F.col("at.tp") / (F.col("labels") + EPS)).alias("recall"), (F.col("at.tp") / F.col("rank")).alias("precision"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def matched(spark, sf_dir):
 
 def curve(spark, sf_dir):
     truth = ground_truth(spark, sf_dir)
-    return E.precision_recall(E.true_positives(detections(spark, sf_dir), truth), truth)
+    pred = detections(spark, sf_dir)
+    return E.precision_recall(pred, truth, E.match_predictions(pred, truth))
 
 
 def confused(spark, sf_dir):

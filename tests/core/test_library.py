@@ -100,7 +100,7 @@ def test_perfect_detector_has_the_known_ap(spark):
     rows = [(1, i, 0, 1 - i / 10, 50.0 * i, 0.0, 50.0 * i + 40, 40.0) for i in range(5)]
     det = spark.createDataFrame(rows, "image_id long, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
     truth = det.withColumnRenamed("det_id", "gt_id").drop("conf")
-    ap = E.average_precision(E.precision_recall(E.true_positives(det, truth), truth)).collect()
+    ap = E.average_precision(E.precision_recall(det, truth, E.match_predictions(det, truth))).collect()
     assert len(ap) == 10 and all(math.isclose(r["ap"], 0.995, abs_tol=1e-9) for r in ap)
     assert {tuple(r) for r in E.confusion(det, truth).collect()} == {(0, 0, 5)}
 
