@@ -237,6 +237,6 @@ def test_neighbours_follow_from_the_place_without_a_join(spark):
                 strips |= {(*a[:2], b[1], *s)} if s[0] < s[2] and s[1] < s[3] else set()
     got = neighbours(im, 32, 0.25)
     assert sorted(map(tuple, got.collect())) == sorted(want) and sorted(map(tuple, overlap_strips(im, 32, 0.25).collect())) == sorted(strips)
-    for name in ("t4_adjacency_map", "t5_overlap_regions"):  # a join sent all tiles to the driver
+    for name in ("t4_adjacency_map", "t5_overlap_regions", "j21_mask_bbox_iou_of_tiles"):  # a join sent all tiles to the driver
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
