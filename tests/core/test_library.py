@@ -240,3 +240,9 @@ def test_neighbours_follow_from_the_place_without_a_join(spark):
     for name in ("t4_adjacency_map", "t5_overlap_regions", "j21_mask_bbox_iou_of_tiles"):  # a join sent all tiles to the driver
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_resample_copies_no_ring_for_each_point(spark):
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0)],)], "ring array<struct<x: double, y: double>>").select(R.resample(F.col("ring"), 7).alias("r"))
+    assert "concat" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(p) for p in df.first()["r"]] == [(0.0, 0.0), (2.0, 0.0), (4.0, 0.0), (4.0, 1.0), (4.0, 2.0), (2.0, 1.0), (0.0, 0.0)]
