@@ -172,7 +172,7 @@ def test_box_pieces_meet_as_their_pixels_do(spark):
         assert got == told(M.pieces(M.box_pixels(det).distinct())) and len(got) > 20
 
 
-@pytest.mark.parametrize("name", ["j24_mask_iou_window"])
+@pytest.mark.parametrize("name", ["j24_mask_iou_window", "j23_has_pixel_overlap", "j25_mask_iou_batch"])
 def test_boxes_meet_by_their_corners(spark, name):
     """Each side moves once, to its tile, and neither its blocks nor its pairs after that."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
