@@ -188,7 +188,7 @@ def test_corners_in_a_tile_move_as_one_number(spark, monkeypatch):
     assert all((r.at is None) == (r.x1 is not None) for r in moved[0].collect())
 
 
-@pytest.mark.parametrize("name", ["j23_has_pixel_overlap", "a13_merge_overlapping_masks_only", "a15_merge_masks_with_iou_optimized"])
+@pytest.mark.parametrize("name", ["j23_has_pixel_overlap", "j25_mask_iou_batch", "a13_merge_overlapping_masks_only", "a15_merge_masks_with_iou_optimized"])
 def test_masks_in_a_tile_move_without_corners(spark, monkeypatch, name):
     moved, written, packed, write = [], [], M._packed, M.materialize
     monkeypatch.setattr(M, "_packed", lambda d, *also: moved.append(packed(d, *also)) or moved[-1])
