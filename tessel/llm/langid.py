@@ -44,32 +44,47 @@ class Network:
     def label(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Summed probabilities and position labels of each window, by language.
 
-        x: bytes, a row per window, in descending order of sizes; what lies beyond a window's size is never read.
+        x: bytes, a row per window, in descending order of sizes; what lies beyond a window's size is never read. A step
+        writes into arrays that all steps share, and languages are rows there, so that no sum runs along a short axis.
         """
         rows, wide = x.shape
         active = np.array([int((sizes > t).sum()) for t in range(wide)])
-        w, h, n = self.w, self.hidden, len(self.langs)
-        out = np.empty((wide, rows, n), np.float32)
-        total, votes = np.zeros((rows, n)), np.zeros((rows, n), np.int64)
-        x = np.ascontiguousarray(x.T)
+        w, h, n, half = self.w, self.hidden, len(self.langs), np.float32(0.5)
+        out = np.empty((wide, n, rows), np.float32)
+        total, votes = np.zeros((n, rows)), np.zeros((n, rows), np.int64)
+        x = np.ascontiguousarray(x.T).astype(np.intp)
+        gates, more, fresh, held = (np.empty((rows, k * h), np.float32) for k in (2, 2, 1, 1))
         for d, order in (("f", range(wide)), ("b", range(wide - 1, -1, -1))):
-            e_zr, e_n, u_zr, u_n, v = w[f"{d}e_zr"] / 2, w[f"{d}e_n"], w[f"{d}u_zr"] / 2, w[f"{d}u_n"], w[f"{d}w"]
+            e_zr, e_n, u_zr, u_n, v = w[f"{d}e_zr"] / 2, w[f"{d}e_n"], w[f"{d}u_zr"] / 2, w[f"{d}u_n"] / 2, np.ascontiguousarray(w[f"{d}w"].T)
             state = np.zeros((rows, h), np.float32)
             for t in order:
                 k = active[t]
-                s, b = state[:k], x[t, :k]
-                zr = np.tanh(e_zr[b] + s @ u_zr) * np.float32(0.5) + np.float32(0.5)
-                new = np.tanh(e_n[b] + zr[:, h:] * (s @ u_n))
-                s += (new - s) * (1 - zr[:, :h])
+                s, b, zr, new, un = state[:k], x[t, :k], gates[:k], fresh[:k], held[:k]
+                np.take(e_zr, b, axis=0, out=zr, mode="clip")
+                zr += np.matmul(s, u_zr, out=more[:k])
+                np.tanh(zr, out=zr)  # the gates are (1 + zr) / 2
+                np.take(e_n, b, axis=0, out=new, mode="clip")
+                new += np.matmul(s, u_n, out=un)
+                un *= zr[:, h:]
+                new += un
+                np.tanh(new, out=new)
+                new -= s
+                new *= half
+                s += new
+                new *= zr[:, :h]
+                s -= new
                 if d == "f":
-                    np.matmul(s, v, out=out[t, :k])
+                    np.matmul(v, s.T, out=out[t, :, :k])
                 else:
-                    p = out[t, :k] + s @ v + w["b"]
-                    p -= p.max(axis=1, keepdims=True)
-                    votes[:k] += p == 0
+                    p = v @ s.T
+                    p += out[t, :, :k]
+                    p += w["b"][:, None]
+                    p -= p.max(axis=0)
+                    votes[:, :k] += p == 0
                     np.exp(p, out=p)
-                    total[:k] += p / p.sum(axis=1, keepdims=True)
-        return total, votes
+                    p /= p.sum(axis=0)
+                    total[:, :k] += p
+        return total.T, votes.T
 
     def loss(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean cross-entropy of all positions and its gradients, by backpropagation through time."""
