@@ -1,8 +1,8 @@
 """Language-model scoring with a hidden Markov model.
 
 Words are counted over the whole corpus. The most frequent are symbols of a hidden Markov model, the others share a
-symbol under which each has its smoothed share, and an end closes every text. Baum-Welch trains it: tasks run the scaled
-forward and backward recursions over windows of all training texts, their expected counts are summed across partitions
+symbol under which each has its smoothed share, and an end closes every text. A mixture over all windows of training texts
+gives the first emissions. Baum-Welch trains the model: tasks run the scaled forward and backward recursions over windows of all training texts, their expected counts are summed across partitions
 by symbol, and the driver re-estimates. Scoring runs the scaled forward recursion over whole texts, which gives their
 exact probability. Counts of words beyond a bounded table come from a shuffle join, so every count is exact.
 """
@@ -28,7 +28,7 @@ TABLE = 1 << 18  # words whose counts tasks hold (about 40 MB)
 COUNTED = 1 << 18  # words that a task counts before it hands on what it has
 WINDOW = 128  # tokens of a training window
 ROUNDS = 3
-FIRST = 600  # windows that give the first emissions; all later counts cover all training texts
+HEATS = (0.02, 0.05, 0.1, 1.0, 1.0, 1.0)  # rounds of the mixture that gives the first emissions; soft at first, so that no window settles by chance
 PRIOR = 50.0  # tokens' worth of the corpus distribution in each state's emissions
 HELD = 1 << 22  # tokens that a task scores at a time
 ADD = 0.1
@@ -113,27 +113,59 @@ class Model:
     emit: np.ndarray
 
 
-def mixture(rows: list[np.ndarray], prior: np.ndarray, states: int, rounds: int = 25, seed: int = 3) -> Model:
-    """A first model: emissions of a mixture over whole windows, states that mostly stay."""
-    size = len(prior)
-    x = np.zeros((len(rows), size))
-    for i, r in enumerate(rows):
-        x[i] = np.bincount(r, minlength=size)
-    rng = np.random.default_rng(seed)
-    emit = prior[:, None] * np.exp(0.5 * rng.normal(size=(size, states)))
-    emit /= emit.sum(axis=0)
-    weight = np.full(states, 1 / states)
-    for i in range(rounds if rows else 0):
-        heat = min(1.0, (i + 1) / 10) * 0.1 if i < 10 else 1.0  # soft at first, so that no window settles by chance
-        p = heat * (x @ np.log(emit) + np.log(weight))
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        emit = x.T @ p + PRIOR * prior[:, None]
-        emit /= emit.sum(axis=0)
-        weight = (p.sum(axis=0) + 1) / (len(rows) + states)
+def _mix(held):
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, heat = held.value
+        logs, weight, (size, s) = np.log(model.emit), np.log(model.start), model.emit.shape
+        emitted, windows = np.zeros((size, s)), np.zeros(s)
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            flat, n = np.frombuffer(b"".join(raw), "<u2"), np.fromiter((len(r) // 2 for r in raw), np.int64, len(raw))
+            parts = -(-n // WINDOW)
+            of = np.repeat(np.arange(len(n)), parts)
+            begin = (np.cumsum(n) - n)[of] + (np.arange(len(of)) - (np.cumsum(parts) - parts)[of]) * WINDOW
+            ends = np.append(begin[1:], len(flat))
+            for i in range(0, len(begin), 1024):
+                at = begin[i : i + 1024]
+                x, sizes = flat[at[0] : ends[i + len(at) - 1]], ends[i : i + len(at)] - at
+                p = heat * (np.add.reduceat(logs[x], at - at[0], axis=0) + weight)
+                p = np.exp(p - p.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                windows += p.sum(axis=0)
+                for j in range(s):
+                    emitted[:, j] += np.bincount(x, weights=np.repeat(p[:, j], sizes), minlength=size)
+        used = np.flatnonzero(emitted.any(axis=1))
+        values = np.concatenate([emitted[used], windows[None]])
+        yield pa.record_batch({"key": pa.array(np.append(used, -1), pa.int64()), **{f"s{j}": pa.array(values[:, j]) for j in range(s)}})
+
+    return mix
+
+
+def _summed(tokens: DataFrame, f, held, states: int) -> dict[int, np.ndarray]:
+    """The sums by key of what f gives with held over all rows of tokens."""
+    schema = "key long, " + ", ".join(f"s{j} double" for j in range(states))
+    part = tokens.select("symbols").mapInArrow(f(tokens.sparkSession.sparkContext.broadcast(held)), schema)
+    return {r[0]: np.array(r[1:]) for r in part.groupBy("key").agg(*[F.sum(f"s{j}") for j in range(states)]).collect()}
+
+
+def _emissions(got: dict[int, np.ndarray], prior: np.ndarray, states: int) -> np.ndarray:
+    emit = PRIOR * np.repeat(prior[:, None], states, axis=1)
+    for k, v in got.items():
+        if k >= 0:
+            emit[k] += v
+    return emit / emit.sum(axis=0)
+
+
+def mixture(tokens: DataFrame, prior: np.ndarray, states: int, heats: tuple[float, ...], seed: int = 3) -> Model:
+    """A first model: emissions of a mixture over the windows of all rows of tokens, states that mostly stay."""
+    emit = prior[:, None] * np.exp(0.5 * np.random.default_rng(seed).normal(size=(len(prior), states)))
     move = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
-    return Model(weight, move, emit)
+    model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
+    for heat in heats:
+        got = _summed(tokens, _mix, (model, heat), states)
+        model = Model((got[-1] + 1) / (got[-1].sum() + states), move, _emissions(got, prior, states))
+    return model
 
 
 def cut(symbols: np.ndarray) -> list[np.ndarray]:
@@ -191,23 +223,14 @@ def _expect(held):
 
 def train(tokens: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """The model after rounds of Baum-Welch over all rows of tokens (symbols), and the log-likelihood before each."""
-    spark = tokens.sparkSession
-    total = tokens.count()
-    share = int(FIRST / max(total, 1) * (1 << 20)) + 1
-    first = tokens.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share).select(F.expr(f"substring(symbols, 1, {2 * WINDOW})")).limit(4 * FIRST).collect()
-    model, history = mixture([np.frombuffer(r[0], "<u2") for r in first], prior, states), []
-    schema = "key long, " + ", ".join(f"s{j} double" for j in range(states))
-    for _ in range(rounds if total else 0):
-        part = tokens.select("symbols").mapInArrow(_expect(spark.sparkContext.broadcast(model)), schema)
-        got = {r[0]: np.array(r[1:]) for r in part.groupBy("key").agg(*[F.sum(f"s{j}") for j in range(states)]).collect()}
-        emit = PRIOR * np.repeat(prior[:, None], states, axis=1)
-        for k, v in got.items():
-            if k >= 0:
-                emit[k] += v
+    some = bool(tokens.take(1))
+    model, history = mixture(tokens, prior, states, HEATS if some else ()), []
+    for _ in range(rounds if some else 0):
+        got = _summed(tokens, _expect, model, states)
         move = np.array([got[-2 - i] for i in range(states)]) + 0.1
         start = got[-1] + 0.1
         history.append(float(got[-2 - states].sum()))
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), _emissions(got, prior, states))
     return model, history
 
 

@@ -333,6 +333,23 @@ def test_langid_steps_share_their_arrays():
     assert min(took(net.label) for _ in range(5)) < 0.85 * min(took(lambda *o: _labelled(net, *o)) for _ in range(5))
 
 
+def test_hmm_begins_from_all_windows(spark):
+    """The mixture's rounds against plain sums over every window of every text: nothing is left out."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 6, n).astype("<u2") for n in [*rng.integers(1, 400, 1500).tolist(), 128, 256, 5000]]
+    tokens = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "row long, symbols binary").repartition(3)
+    prior, heats = np.full(6, 1 / 6), (0.05, 1.0)
+    got, want = hmm.mixture(tokens, prior, 3, heats), hmm.mixture(tokens.limit(0), prior, 3, ())
+    x = np.array([np.bincount(w, minlength=6) for t in texts for w in hmm.cut(t)], float)
+    weight, emit = want.start, want.emit
+    for heat in heats:
+        p = np.exp(heat * (x @ np.log(emit) + np.log(weight)))
+        p /= p.sum(axis=1, keepdims=True)
+        emit = x.T @ p + hmm.PRIOR * prior[:, None]
+        emit, weight = emit / emit.sum(axis=0), (p.sum(axis=0) + 1) / (len(x) + 3)
+    assert np.allclose(got.emit, emit) and np.allclose(got.start, weight)
+
+
 def test_hmm_scores_against_plain(spark, monkeypatch):
     texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet' WHERE doc_id < 60").fetchall())
     held, models, counts = {d for d in texts if d % 7 == 0}, [], []
