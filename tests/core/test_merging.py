@@ -291,7 +291,7 @@ def test_packed_boxes_meet_and_merge_as_their_pixels_do(spark, monkeypatch, open
     assert sum(r[1] for r in merged(M.packed_pieces(twice, "cls", "conf"))) == len(set(rows)) + 1
 
 
-@pytest.mark.parametrize("name", ["a15_merge_masks_with_iou_optimized", "j23_has_pixel_overlap"])
+@pytest.mark.parametrize("name", ["a15_merge_masks_with_iou_optimized", "j23_has_pixel_overlap", "j25_mask_iou_batch"])
 def test_masks_move_in_packs(spark, monkeypatch, name):
     written, write = [], M.materialize
     monkeypatch.setattr(M, "materialize", lambda d, n: written.append(d) or write(d, n))
